@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_ngram_jaccard"]
+MODULES = ["op1_ngram_jaccard", "op2_suffix_dedup", "op8_packing", "op9_winnowing", "op10_permutation_ann"]
 
 
 def queries() -> dict:
