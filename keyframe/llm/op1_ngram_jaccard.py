@@ -16,7 +16,8 @@ folded into one representative first.  Then:
 A block of more than BLOCK rows is dealt into salted chunks that are joined one
 by one.  What a common passage draws together is mostly found elsewhere; rows
 for which a quarter of the keys lie in such blocks (a set made of hot tokens)
-are compared across chunks too, as far as they are not yet connected.
+are compared across chunks of WIDE rows too, as far as they are not yet connected,
+in the blocks of their EARLY first keys (4^-16 = 2e-10).
 Components are joined without listing the pairs inside a group of copies.
 
 Null doc_id: the row is returned with a null component.  Null, empty or blank
@@ -38,7 +39,7 @@ from .signature_tree import Links, join
 
 WORDS, THRESHOLD = 5, 75
 KEYS, SKETCH, LEAST_COMMON = 32, 48, 12
-BLOCK = 256
+BLOCK, WIDE, EARLY = 256, 1024, 16
 
 
 def token_sets(column, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -122,9 +123,9 @@ def _linked(rows: DataFrame, payload: DataFrame, run) -> DataFrame:
 
 
 def _chunked(rows: DataFrame) -> DataFrame:
-    """Rows (block, node, size) -> (block, node, chunk, chunks): salted chunks of about BLOCK rows."""
+    """Rows (block, node, early, size) -> (block, node, early, chunk, chunks): salted chunks of about BLOCK rows."""
     chunks = F.ceil(F.col("size") / BLOCK).cast("long")
-    return rows.select("block", "node", F.pmod(F.xxhash64("node", "block"), chunks).alias("chunk"), chunks.alias("chunks"))
+    return rows.select("block", "node", "early", F.pmod(F.xxhash64("node", "block"), chunks).alias("chunk"), chunks.alias("chunks"))
 
 
 def _within(c: DataFrame) -> DataFrame:
@@ -143,10 +144,10 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
     and no pair of chunks of one same label is made."""
     t = rows.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
     size = t.groupBy("block", "label").agg(F.count("*").alias("n"))
-    mixed = size.groupBy("block").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") < BLOCK // 2, F.col("n")).otherwise(0)).alias("rest")).where("labels > 1")
-    size = size.join(mixed, "block").select("block", "label", F.when(F.col("n") >= BLOCK // 2, F.col("label")).alias("family"), F.when(F.col("n") >= BLOCK // 2, F.col("n")).otherwise(F.col("rest")).alias("size"))
+    mixed = size.groupBy("block").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") < WIDE // 2, F.col("n")).otherwise(0)).alias("rest")).where("labels > 1")
+    size = size.join(mixed, "block").select("block", "label", F.when(F.col("n") >= WIDE // 2, F.col("label")).alias("family"), F.when(F.col("n") >= WIDE // 2, F.col("n")).otherwise(F.col("rest")).alias("size"))
     t = t.join(size, ["block", "label"])
-    chunks = F.ceil(F.col("size") / BLOCK).cast("long")
+    chunks = F.ceil(F.col("size") / WIDE).cast("long")
     t = cut(t.select("block", "node", "family", F.when(F.col("family").isNull(), F.pmod(F.xxhash64("label"), chunks)).otherwise(F.pmod(F.xxhash64("node", "block"), chunks)).alias("chunk")))
     c = t.select("block", "family", "chunk").distinct().withColumn("id", F.xxhash64("block", "family", "chunk"))
     d = c.select("block", F.col("family").alias("family2"), F.col("id").alias("id2"))
@@ -160,13 +161,14 @@ def _all_links(c: DataFrame, exposed: DataFrame | None, payload: DataFrame, run)
     """Labels after chunks, anchors and, for what stays apart, pairs of chunks."""
     labels = cut(components(_linked(_within(c), payload, run)))
     large = c.where("chunks > 1")
-    if exposed is not None:
-        large = large.join(exposed, "node", "left_semi")
+    if exposed is not None:  # every block has chunks of its own, so what belongs together is mostly connected
+        large = large.where(F.col("early")).join(exposed, "node", "left_semi")
     large = cut(large)
     if large.isEmpty():
         return labels
     as_edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = cut(components(as_edges.union(_linked(_anchored(large), payload, run))))
+    if exposed is None:
+        labels = cut(components(as_edges.union(_linked(_anchored(large), payload, run))))
     as_edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     return cut(components(as_edges.union(_linked(_across(large.select("block", "node"), labels), payload, run))))
 
@@ -178,15 +180,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = cut(base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     reps = sets.where("n > 1").select(F.col("rep").alias("doc_id"), "h1", "h2")
     firsts = base.join(reps, ["doc_id", "h1", "h2"], "left_semi")
-    posted = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("block"))
+    posted = firsts.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("at", "block")).select("node", "block", (F.col("at") < EARLY).alias("early"))
     size = posted.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("block", "size")
-    rows = cut(posted.join(size, "block").select("block", "node", "size"))
+    rows = cut(posted.join(size, "block").select("block", "node", "early", "size"))
     hot = rows.groupBy("node").agg(F.count(F.when(F.col("size") > BLOCK, 1)).alias("hot")).where("hot > 0")
     exposed = firsts.select(F.col("doc_id").alias("node"), F.size("keys").alias("keys")).join(hot, "node").where("4 * hot >= keys").select("node")
     sketches = firsts.select(F.col("doc_id").alias("node"), F.col("sketch").alias("data"))
     near = _all_links(_chunked(rows), exposed, sketches, _join_sketches)
 
-    group = near.select("node", F.col("label").alias("block"))
+    group = near.select("node", F.col("label").alias("block"), F.lit(True).alias("early"))
     size = group.groupBy("block").agg(F.count("*").alias("size"))
     texts = docs.join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("text").alias("data"))
     labels = _all_links(cut(_chunked(group.join(size, "block"))), None, texts, _join_texts)
