@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_ngram_jaccard", "op2_suffix_dedup", "op3_toxicity", "op4_quality", "op5_language_id", "op6_mixing", "op8_packing", "op9_winnowing", "op10_permutation_ann"]
+MODULES = ["op1_ngram_jaccard", "op2_suffix_dedup", "op3_toxicity", "op4_quality", "op5_language_id", "op6_mixing", "op7_html_extract", "op8_packing", "op9_winnowing", "op10_permutation_ann"]
 
 
 def queries() -> dict:
