@@ -73,5 +73,5 @@ def delta_decode(encoded: DataFrame, bits: int = 64, out: str = "value") -> Data
 
 def wrap(c: Column, bits: int) -> Column:
     """Two's-complement reduction to a signed integer of `bits`."""
-    span, half = F.lit(1 << bits).cast("decimal(38,0)"), F.lit(1 << (bits - 1)).cast("decimal(38,0)")
+    span, half = F.lit(str(1 << bits)).cast("decimal(38,0)"), F.lit(str(1 << (bits - 1))).cast("decimal(38,0)")
     return (F.pmod(c.cast("decimal(38,0)") + half, span) - half).cast("long")
