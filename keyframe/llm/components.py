@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -27,12 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     sort-merge join that Spark may split.  No edge or label reaches the driver.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     while True:
-        now = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.count_distinct("u")).first()
-        # a forest of stars: each node points at one other, and nothing changed
-        if now[0] == 0 or (seen is not None and now[:2] == seen):
+        edges_now, nodes = e.agg(F.count("*"), F.count_distinct("u")).first()
+        # stars: each node points at one other, which points nowhere
+        if edges_now == nodes and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        seen = now[:2]
         e = cut(_small(_large(e)))
+        release(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, shingle_hashes, slices, table, text_buffer
+from .common import U64, cut, mix, release, shingle_hashes, slices, table, text_buffer
 from .components import components
 from .signature_tree import Links, join
 
@@ -159,7 +159,8 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _all_links(c: DataFrame, exposed: DataFrame | None, payload: DataFrame, run) -> DataFrame:
     """Labels after chunks, anchors and, for what stays apart, pairs of chunks."""
-    labels = cut(components(_linked(_within(c), payload, run)))
+    labels = components(_linked(_within(c), payload, run))
+    release(labels.sparkSession)
     large = c.where("chunks > 1")
     if exposed is not None:  # every block has chunks of its own, so what belongs together is mostly connected
         large = large.where(F.col("early")).join(exposed, "node", "left_semi")
@@ -168,9 +169,9 @@ def _all_links(c: DataFrame, exposed: DataFrame | None, payload: DataFrame, run)
         return labels
     as_edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     if exposed is None:
-        labels = cut(components(as_edges.union(_linked(_anchored(large), payload, run))))
+        labels = components(as_edges.union(_linked(_anchored(large), payload, run)))
     as_edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return cut(components(as_edges.union(_linked(_across(large.select("block", "node"), labels), payload, run))))
+    return components(as_edges.union(_linked(_across(large.select("block", "node"), labels), payload, run)))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
