@@ -73,15 +73,24 @@ def float_order(value: float, length: int = 8) -> int:
 
 
 def order_column(field: Field, column: Column | None = None) -> Column:
-    """What a key is compared by: itself, or for floats the signed integer of IEEE total order."""
+    """What a key is compared by: itself, or for floats (value, whether it is not the negative zero).
+
+    Spark's own order puts NaN above all and takes the two zeros as equal; the second part
+    tells them apart. NaNs are all one, above infinity.
+    """
     c = F.col(f"`{field.name}`") if column is None else column
     if field.family != Family.FLOAT or field.is_decimal:
         return c
-    if field.length == 4:
-        bits = F.call_function("reflect", F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), c.cast("float")).cast("int")
-        return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 31) - 1)))
-    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), c.cast("double")).cast("bigint")
-    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+    return F.struct(c.cast("double").alias("value"), (c.cast("string") != "-0.0").alias("above"))
+
+
+def order_lit(field: Field, ordered) -> Column:
+    """A literal that order_column compares with, from a value of order_value."""
+    if field.family != Family.FLOAT or field.is_decimal:
+        return F.lit(ordered)
+    bits = ordered if ordered >= 0 else ordered ^ ((1 << (8 * field.length - 1)) - 1)
+    value = struct.unpack("<f" if field.length == 4 else "<d", struct.pack("<i" if field.length == 4 else "<q", bits))[0]
+    return F.struct(F.lit(value).cast("double").alias("value"), F.lit(bits >= 0 or value != 0).alias("above"))
 
 
 def order_value(field: Field, value):

@@ -39,8 +39,7 @@ def grouped(c: Column) -> Column:
 
 def fixed_point(c: Column, points: int, percent: bool = False) -> Column:
     """value / 10^points with grouped integer digits and exactly `points` decimals."""
-    scaled = c.cast("decimal(38,0)") * F.lit(1).cast("decimal(1,0)")
-    text = F.format_number((scaled / F.lit(10**points).cast("decimal(10,0)")).cast(f"decimal(38,{points})"), points)
+    text = F.format_number((c.cast("decimal(20,0)") / F.lit(10**points).cast("decimal(9,0)")).cast(f"decimal(38,{points})"), points)
     return F.concat(text, F.lit("%")) if percent else text
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import FrameDataset
 from ..errors import KeyOrderError, RangeError
-from ..functions.keys import order_value
+from ..functions.keys import order_lit, order_value
 from ..plans.ordering import INDEX, violations
 from ..plans.selectors import Selector, predicate
 from ..types import Schema
@@ -66,7 +66,7 @@ def delete_ranges(d: FrameDataset, ranges: list[tuple[int, int]]) -> Removed:
 
 
 def delete_key(d: FrameDataset, value) -> Removed:
-    return _kept(d, d.df.where(d.key != F.lit(order_value(d.schema.key, value))))
+    return _kept(d, d.df.where(d.key != order_lit(d.schema.key, order_value(d.schema.key, value))))
 
 
 def delete_keys(d: FrameDataset, keys: list) -> Removed:
@@ -77,15 +77,15 @@ def delete_keys(d: FrameDataset, keys: list) -> Removed:
 def delete_key_range(d: FrameDataset, low, high) -> Removed:
     """Both ends included; a reversed range removes nothing."""
     a, b = order_value(d.schema.key, low), order_value(d.schema.key, high)
-    return _kept(d, d.df.where(~d.key.between(F.lit(a), F.lit(b))) if a <= b else d.df)
+    return _kept(d, d.df.where(~d.key.between(order_lit(d.schema.key, a), order_lit(d.schema.key, b))) if a <= b else d.df)
 
 
 def delete_before(d: FrameDataset, high) -> Removed:
-    return _kept(d, d.df.where(d.key > F.lit(order_value(d.schema.key, high))))
+    return _kept(d, d.df.where(d.key > order_lit(d.schema.key, order_value(d.schema.key, high))))
 
 
 def delete_after(d: FrameDataset, low) -> Removed:
-    return _kept(d, d.df.where(d.key < F.lit(order_value(d.schema.key, low))))
+    return _kept(d, d.df.where(d.key < order_lit(d.schema.key, order_value(d.schema.key, low))))
 
 
 def delete_all(d: FrameDataset) -> Removed:

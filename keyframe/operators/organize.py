@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import FrameDataset
 from ..errors import IncompatibleError, KeyOrderError
-from ..functions.keys import order_value
+from ..functions.keys import order_lit, order_value
 from ..types import richest
 from .read import check_sorted
 from .strings import merge
@@ -21,7 +21,7 @@ def part_of(d: FrameDataset, keys: list) -> Column:
     """The number of split keys that are not above the row's key."""
     out = F.lit(0)
     for k in keys:
-        out = out + F.when(d.key >= F.lit(order_value(d.schema.key, k)), 1).otherwise(0)
+        out = out + F.when(d.key >= order_lit(d.schema.key, order_value(d.schema.key, k)), 1).otherwise(0)
     return out.cast("long")
 
 

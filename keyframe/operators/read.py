@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import FrameDataset
 from ..errors import KeyOrderError, RangeError
-from ..functions.keys import order_column, order_value
+from ..functions.keys import order_column, order_lit, order_value
 from ..plans.ordering import INDEX
 from ..plans.selectors import Selector, predicate, resolve
 
@@ -42,7 +42,7 @@ def boundary_keys(d: FrameDataset) -> DataFrame:
 
 
 def _ranks(d: FrameDataset, value) -> tuple:
-    v = F.lit(order_value(d.schema.key, value))
+    v = order_lit(d.schema.key, order_value(d.schema.key, value))
     return F.count_if(d.key < v).cast("long"), F.count_if(d.key <= v).cast("long")
 
 
@@ -88,15 +88,15 @@ def frames_between(d: FrameDataset, low, high) -> DataFrame:
     """Keys from low to high, both included; a reversed range is empty."""
     f = d.schema.key
     a, b = order_value(f, low), order_value(f, high)
-    return d.df.where(d.key.between(F.lit(a), F.lit(b)) if a <= b else F.lit(False))
+    return d.df.where(d.key.between(order_lit(d.schema.key, a), order_lit(d.schema.key, b)) if a <= b else F.lit(False))
 
 
 def frames_before(d: FrameDataset, high) -> DataFrame:
-    return d.df.where(d.key <= F.lit(order_value(d.schema.key, high)))
+    return d.df.where(d.key <= order_lit(d.schema.key, order_value(d.schema.key, high)))
 
 
 def frames_after(d: FrameDataset, low) -> DataFrame:
-    return d.df.where(d.key >= F.lit(order_value(d.schema.key, low)))
+    return d.df.where(d.key >= order_lit(d.schema.key, order_value(d.schema.key, low)))
 
 
 def check_sorted(d: FrameDataset, keys: list) -> list:
@@ -112,7 +112,7 @@ def key_in(d: FrameDataset, keys: list, how: str) -> DataFrame:
     """Semi or anti join with a sorted key list: a pushed-down IN while it is short."""
     values = check_sorted(d, keys)
     if len(values) <= SMALL_LIST:
-        hit = d.key.isin(values) if values else F.lit(False)
+        hit = d.key.isin(*[order_lit(d.schema.key, v) for v in values]) if values else F.lit(False)
         return d.df.where(hit if how == "left_semi" else ~hit)
     kind = d.df.select(d.key.alias("_k")).schema["_k"].dataType
     listed = d.df.sparkSession.createDataFrame([(v,) for v in values], "v " + kind.simpleString())

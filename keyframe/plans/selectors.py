@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SelectorError
-from ..functions.keys import order_column, order_value, parse_key
+from ..functions.keys import order_column, order_lit, order_value, parse_key
 from ..types import Field
 
 
@@ -65,7 +65,7 @@ def predicate(field: Field, selectors: list[Selector], column: Column | None = N
         return F.lit(True)
     tests = []
     for low, high in intervals(field, selectors):
-        test = F.lit(True) if low is None and high is None else c <= F.lit(high) if low is None else c >= F.lit(low) if high is None else (c == F.lit(low)) if low == high else c.between(F.lit(low), F.lit(high))
+        test = F.lit(True) if low is None and high is None else c <= order_lit(field, high) if low is None else c >= order_lit(field, low) if high is None else (c == order_lit(field, low)) if low == high else c.between(order_lit(field, low), order_lit(field, high))
         tests.append(test)
     return reduce(Column.__or__, tests) if tests else F.lit(False)
 
@@ -79,8 +79,8 @@ def bounds(df: DataFrame, field: Field, selectors: list[Selector], column: Colum
     aggs = []
     for i, s in enumerate(selectors):
         low, high = s.ordered(field)
-        aggs.append((F.lit(0) if low is None else F.count_if(c < F.lit(low))).cast("long").alias(f"s{i}") if low is not None else F.max(F.lit(0)).cast("long").alias(f"s{i}"))
-        aggs.append((F.count(F.lit(1)) if high is None else F.count_if(c <= F.lit(high))).cast("long").alias(f"e{i}"))
+        aggs.append((F.lit(0) if low is None else F.count_if(c < order_lit(field, low))).cast("long").alias(f"s{i}") if low is not None else F.max(F.lit(0)).cast("long").alias(f"s{i}"))
+        aggs.append((F.count(F.lit(1)) if high is None else F.count_if(c <= order_lit(field, high))).cast("long").alias(f"e{i}"))
     r = df.agg(*aggs).first()
     return [(r[f"s{i}"] or 0, r[f"e{i}"]) for i in range(len(selectors))]
 
