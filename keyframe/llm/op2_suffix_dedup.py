@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, slices, stream, table, text_buffer
+from .common import U64, cut, mix, release, slices, stream, table, text_buffer
 
 LENGTH, K = 50, 24
 LEFT = LENGTH - K  # most bytes of a window before its anchor
@@ -189,8 +189,8 @@ class Group:
         n = len(self.at)
         padded = np.concatenate([np.zeros(LEFT, np.uint8), self.data, np.zeros(LENGTH, np.uint8)])
         ctx = np.empty((n, WIDTH), np.uint8)
-        ctx[:, :LENGTH] = padded[self.at[:, None] + LEFT + np.arange(LENGTH)]
-        ctx[:, LENGTH : LENGTH + LEFT] = padded[self.at[:, None] + LEFT - 1 - np.arange(LEFT)]  # nearest first
+        ctx[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[self.at + LEFT]
+        ctx[:, LENGTH : LENGTH + LEFT] = np.lib.stride_tricks.sliding_window_view(padded, LEFT)[self.at][:, ::-1]  # nearest first
         start, end = self.offs[self.row], self.offs[self.row + 1]
         self.lo = np.maximum(0, self.at + LENGTH - end)  # offsets at which a window around the anchor fits
         self.hi = np.minimum(LEFT, self.at - start)
@@ -416,11 +416,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     sample = np.sort(np.frombuffer(b"".join(sample), f"S{K}"))
     splitters = np.unique(sample[np.linspace(0, len(sample) - 1, groups + 1).astype(int)[1:-1]]) if len(sample) and groups > 1 else sample[:0]
 
+    release(docs.sparkSession)
     rows = texts.select("g", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "data")
     rows = rows.union(shared.where("g >= 0").select("g", F.lit(1), "id", "data"))
     rows = rows.union(copies.select(group, F.lit(3), "doc_id", F.lit(None).cast("binary")))
     runs = rows.groupBy("g").applyInArrow(_make_runs(groups, splitters), "range int, g int, data binary")
     answers = cut(runs.groupBy("range").applyInArrow(_merge_range, "g int, id long, data binary"))
+    release(docs.sparkSession)
     rows = rows.union(answers.select("g", F.lit(2), "id", "data"))
     return rows.groupBy("g").applyInArrow(_cut_texts(groups, splitters, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
