@@ -1,16 +1,16 @@
 """Approximate nearest neighbours by a permutation index (operator 10).
 
 PIVOTS vectors, sampled by the hash of their id, are the pivots.  Each vector is
-represented by its POSTED nearest pivots in order and is posted in the inverted
-file of each.  A query visits the files of its VISITED nearest pivots, ranks
-what is posted there by footrule distance between the two orders (a pivot that
-an order lacks stands at place POSTED), and reranks the RERANK nearest by the
+represented by the order of all pivots by their nearness to it, and is posted in
+the inverted file of each of its POSTED nearest.  A query visits the files of its
+VISITED nearest pivots, ranks what is posted there by footrule distance between
+the two orders, and reranks the nearest RERANK_SHARE of it (RERANK at least) by the
 exact inner product in double precision.
 
 Every vector is indexed; only the pivots are a sample.  A file is cut into
 blocks of about BLOCK vectors and, where it draws many queries, by blocks of
 queries, so no pivot's popularity decides the size of a task.  A pair that meets in several
-files is ranked in the first of them in the query's order.  RERANK applies to a
+files is ranked in the first of them in the query's order.  The share applies to a
 block, so the candidates grow with the input.
 
 A vector that is null, zero or holds a null or non-finite component takes no
@@ -27,28 +27,27 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-PIVOTS, POSTED, VISITED = 96, 12, 8
-BLOCK, QUERIES, RERANK, NEAREST = 4096, 2048, 400, 20
+PIVOTS, POSTED, VISITED = 128, 14, 12
+BLOCK, QUERIES, RERANK, RERANK_SHARE, NEAREST = 4096, 2048, 200, 0.15, 20
 QUERY_MOD = 20
 
 
-def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
-    """The `length` nearest pivots of each row by cosine, nearest first, ties to the smaller number."""
+def orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The pivots of each row by cosine, nearest first, ties to the smaller number."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = unit @ pivots.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :length]
+    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")
 
 
-def places(order: np.ndarray, pivots: int, length: int) -> np.ndarray:
-    """Each pivot's place in each order; `length` where it has none."""
-    out = np.full((len(order), pivots), length, np.float32)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.float32)[None, :].repeat(len(order), 0), axis=1)
+def places(order: np.ndarray) -> np.ndarray:
+    """Each pivot's place in each order."""
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=order.dtype)[None, :].repeat(len(order), 0), axis=1)
     return out
 
 
 def footrule(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Sum over pivots of the difference in place."""
-    return np.abs(vectors - query).sum(axis=1)
+    return np.abs(vectors - query).sum(axis=1, dtype=np.int64)
 
 
 def _post(pivots: np.ndarray, mod: int):
@@ -60,7 +59,8 @@ def _post(pivots: np.ndarray, mod: int):
             if not len(b):
                 continue
             ids = np.asarray(b.column(0))
-            order = orders(x, pivots, POSTED).astype(np.uint8)
+            order = orders(x, pivots)
+            place = places(order).astype(np.uint8)
             raw = x.astype(np.float64)
             who, where, kind = [], [], []
             for j in range(min(POSTED, order.shape[1])):
@@ -74,7 +74,7 @@ def _post(pivots: np.ndarray, mod: int):
                 kind.append(np.ones(len(q), bool))
             who, where, kind = map(np.concatenate, (who, where, kind))
             data = [raw[i].tobytes() for i in range(len(b))]
-            code = [order[i].tobytes() for i in range(len(b))]
+            code = [place[i].tobytes() for i in range(len(b))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(where.astype(np.int32)), pa.array(kind), pa.array(ids[who]), pa.array([code[i] for i in who], pa.binary()), pa.array([data[i] for i in who], pa.binary())],
                 names=["pivot", "query", "vec_id", "code", "data"],
@@ -83,30 +83,29 @@ def _post(pivots: np.ndarray, mod: int):
     return run
 
 
-def _search(pivots: int, nearest: int):
+def _search(nearest: int):
     def run(key, t):
         import pyarrow as pa
 
         pivot = key[0].as_py()
         is_query = np.asarray(t.column("query"))
         ids = np.asarray(t.column("vec_id"))
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+        place = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int16)
         x = np.frombuffer(b"".join(t.column("data").to_pylist()), np.float64).reshape(len(ids), -1)
-        length = code.shape[1]
-        place = places(code, pivots, length)
         q, v = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         v = v[np.argsort(ids[v], kind="stable")]
         vp, vx, vid = place[v], x[v], ids[v]
         out_q, out_v, out_s = [], [], []
         for i in q if len(v) else []:
-            rank = int(np.flatnonzero(code[i] == pivot)[0])
             mine = vid != ids[i]
-            if rank:  # a pair is ranked in the first file where it meets
-                mine &= (vp[:, code[i, :rank]] >= length).all(axis=1)
+            earlier = np.flatnonzero(place[i] < place[i, pivot])
+            if len(earlier):  # a pair is ranked in the first file where it meets
+                mine &= (vp[:, earlier] >= POSTED).all(axis=1)
             c = np.flatnonzero(mine)
-            if len(c) > RERANK:
+            keep = max(RERANK, int(RERANK_SHARE * len(c)))
+            if len(c) > keep:
                 d = footrule(place[i], vp[c])
-                c = c[d <= np.partition(d, RERANK - 1)[RERANK - 1]]
+                c = c[d <= np.partition(d, keep - 1)[keep - 1]]
             s = np.einsum("ij,j->i", vx[c], x[i])
             best = np.lexsort((vid[c], -s))[:nearest]
             out_q.append(np.full(len(best), ids[i]))
@@ -140,7 +139,7 @@ def nearest(vectors: DataFrame, mod: int = QUERY_MOD, k: int = NEAREST) -> DataF
     columns = ["pivot", "query", "vec_id", "code", "data"]
     queries = posted.where("query").select(*columns, F.explode(F.sequence(F.lit(0), width - 1)).alias("vb"), own_q.alias("qb"))
     others = posted.where("not query").select(*columns, own_v.alias("vb"), F.explode(F.sequence(F.lit(0), depth - 1)).alias("qb"))
-    found = queries.unionByName(others).groupBy("pivot", "vb", "qb").applyInArrow(_search(len(p), k), "query_id long, vec_id long, score double")
+    found = queries.unionByName(others).groupBy("pivot", "vb", "qb").applyInArrow(_search(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
