@@ -29,6 +29,8 @@ from .common import table
 GRAM, WINDOW = 3, 8
 HASH_BITS, POSITION_BITS = 35, 28
 BUCKET, SUPER = 1024, 4096
+#: Rows of (id, bucket) that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 #: The blanks between words, the first replacing the others.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -71,6 +73,7 @@ def followers(rows: DataFrame) -> DataFrame:
     everything = Window.partitionBy(F.lit(0)).orderBy("super")  # one row for each SUPER * BUCKET ids
     tops = tops.withColumn("after", F.coalesce(F.lead("top").over(everything), F.first("top").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     link = inside.join(tops.select("super", "after"), "super").select(F.coalesce("next", "after").alias("doc_id"), F.col("bucket").alias("into"))
+    link = F.broadcast(link) if firsts.count() <= MAX_BROADCAST else link  # one row for each bucket in use
     return rows.drop("bucket").join(link, "doc_id").groupBy("into", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("into").alias("bucket"))
 
 
