@@ -4,9 +4,11 @@ Two generative models share BUCKETS hashed n-grams (character trigrams, and word
 bigrams, of which those of a word with itself have a bucket of their own): the
 target's, from at most TRAIN_DOCS labelled documents of good quality chosen by the
 hash of their id, and the raw one, from all documents.  A document's log weight is
-the sum over its n-grams of log p_target - log p_raw.  Documents are drawn
-without replacement by Gumbel top-k: the k largest of log weight + Gumbel noise,
-the noise a function of seed, id and text.  k is the number of documents whose log
+the sum over its n-grams of log p_target - log p_raw; it is tempered by the factor
+TEMPER / (TEMPER + n-grams), so that a long document's many small terms, which are
+not independent, do not outweigh everything.  Documents are drawn without
+replacement by Gumbel top-k: the k largest of tempered weight + Gumbel noise, the
+noise a function of seed, id and text.  k is the number of documents whose tempered
 weight passes the cut that best separates the labelled ones (all, if no labels
 of both kinds are known).
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, cut, mix, slices, span_hashes, table, text_buffer, word_spans
 
-BITS, GRAM, TRAIN_DOCS, SMOOTH, SEED = 15, 3, 4000, 0.5, 1234
+BITS, GRAM, TRAIN_DOCS, SMOOTH, SEED, TEMPER = 15, 3, 4000, 0.5, 1234, 1000.0
 BUCKETS = 1 << BITS
 BINS = 4096
 
@@ -143,7 +145,7 @@ def top_k_bound(df: DataFrame, key: str, k: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text), labels (doc_id, quality) -> doc_id, n_grams, log_weight, sample_key, selected, salt."""
+    """docs (doc_id, text), labels (doc_id, quality) -> doc_id, n_grams, log_weight, tempered, sample_key, selected, salt."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("salt"), text.alias("text"))
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
@@ -152,14 +154,14 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     target = model(rows.join(F.broadcast(good.select("doc_id")), "doc_id", "left_semi").select("text"))  # at most TRAIN_DOCS ids
     raw = model(rows.select("text"))
     ratio = log_ratio(target, raw) if target.sum() else np.zeros(BUCKETS)
-    weighed = cut(rows.mapInArrow(_weigh(ratio), "doc_id long, salt long, n_grams long, log_weight double"))
-    tried = weighed.join(F.broadcast(good.union(bad)), "doc_id").select("y", "log_weight").limit(8 * TRAIN_DOCS).collect()
-    by = {y: np.array([r.log_weight for r in tried if r.y == y]) for y in (0, 1)}
+    weighed = cut(rows.mapInArrow(_weigh(ratio), "doc_id long, salt long, n_grams long, log_weight double").withColumn("tempered", F.col("log_weight") * TEMPER / (TEMPER + F.col("n_grams"))))
+    tried = weighed.join(F.broadcast(good.union(bad)), "doc_id").select("y", "tempered").limit(8 * TRAIN_DOCS).collect()
+    by = {y: np.array([r.tempered for r in tried if r.y == y]) for y in (0, 1)}
     bound = best_cut(by[1], by[0])
-    keyed = weighed.withColumn("sample_key", F.col("log_weight") + gumbel(seed, F.col("doc_id"), F.col("salt")))
-    k = weighed.where(F.col("log_weight") >= bound).count()
+    keyed = weighed.withColumn("sample_key", F.col("tempered") + gumbel(seed, F.col("doc_id"), F.col("salt")))
+    k = weighed.where(F.col("tempered") >= bound).count()
     least = top_k_bound(keyed, "sample_key", k)
-    return keyed.select("doc_id", "n_grams", "log_weight", "sample_key", (F.col("sample_key") >= least).alias("selected"), "salt")
+    return keyed.select("doc_id", "n_grams", "log_weight", "tempered", "sample_key", (F.col("sample_key") >= least).alias("selected"), "salt")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
