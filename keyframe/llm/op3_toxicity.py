@@ -108,9 +108,11 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         g = (c * np.log(np.maximum(c, 1e-9) / np.maximum(e, 1e-9))).sum(axis=0)
         return np.where(s >= LEAST_DOCS, g, 0)
 
-    w = worth(small)
-    cut = max(np.partition(w, -4 * FEATURES)[-4 * FEATURES], 1.0)
-    wanted = w >= cut
+    often = np.flatnonzero(small.sum(axis=0) >= LEAST_DOCS)
+    w = worth(small[:, often])
+    cut = max(np.partition(w, -4 * FEATURES)[-4 * FEATURES], 1.0) if len(w) > 4 * FEATURES else 1.0
+    wanted = np.zeros(small.shape[1], bool)
+    wanted[often[w >= cut]] = True
     exact: dict[int, list[int]] = {}
     held = []
     for t, k in zip(texts, labels, strict=True):
