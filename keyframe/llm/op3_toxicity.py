@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import U64, held_out, mix, slices, stream, table, text_buffer
 
 SIZES, TRAIN_DOCS, FEATURES = (4, 5, 6), 1200, 2000
-SMOOTH, PENALTY, STEPS = 0.5, 0.005, 200
+SMOOTH, PENALTY, STEPS = 0.5, 0.001, 500
 COUNT_BITS, FILTER_BITS, LEAST_DOCS = 22, 20, 4
 CUT = 0.3
 #: Lower case of the Latin, Greek and Cyrillic letters that have one of a single code point.
