@@ -115,9 +115,13 @@ def test_signature_tree_is_exact():
     assert [links.find(i) for i in range(120)] == [want.find(i) for i in range(120)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [7, 10**6])
+def test_components(spark, monkeypatch, local):
+    from keyframe.llm import components as module
     from keyframe.llm.components import components
 
+    monkeypatch.setattr(module, "LOCAL", local)
+
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(30)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(45)] + [(500, x) for x in range(501, 560)]
     got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
