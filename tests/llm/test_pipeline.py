@@ -1,4 +1,12 @@
-"""The pipeline's stages, each against what its input holds."""
+"""The pipeline's stages, each against a brute-force version on its own input."""
+
+import os
+import sys
+import zlib
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+from test_ops import components_of, removed, shingles  # noqa: E402
 
 DIR = "/root/testdata/sf0.001"
 
@@ -9,19 +17,39 @@ def test_stages(spark):
 
     prepare(spark)
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    columns = docs.columns
+    columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
     assert [n for n, _ in p.STAGES] == ["quality", "near_duplicates", "repeats", "mixing", "packing"]
-    counts = [docs.count()]
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     for name, stage in p.STAGES:
         out = stage(spark, docs, DIR)
-        out = spark.createDataFrame(out.collect(), out.schema)
-        counts.append(out.count())
+        rows = out.collect()
+        after = {r.doc_id: r for r in rows}
         if name == "packing":
-            assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+            assert set(after) == set(before) and sum(r.length for r in rows if r.start == 0) > 0
+            break
+        assert out.columns == columns and set(after) <= set(before)
+        ids = sorted(before)
+        texts = [before[i].text for i in ids]
+        if name == "quality":
+            good = [i for i in ids if i in labels and labels[i].quality == 1]
+            bad = [i for i in ids if i in labels and labels[i].quality == 0]
+            assert sum(i in after for i in good) >= 0.9 * len(good) and sum(i in after for i in bad) <= 0.3 * len(bad)
+        elif name == "near_duplicates":
+            found = components_of([shingles(t) for t in texts], ids)
+            assert set(after) == {i for i, c in zip(ids, found, strict=True) if i == c}
+            assert all(after[i] == before[i] for i in after)
+        elif name == "repeats":
+            want = removed(texts, ids)
+            for k, i in enumerate(ids):
+                n, gone, _, _ = want[k]
+                if not gone:
+                    assert after[i].text == texts[k]
+                elif i in after:
+                    assert len(after[i].text.encode()) <= n - gone and after[i].n_chars == len(after[i].text)
         else:
-            assert out.columns == columns
-        docs = out
-    assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] <= counts[2] and counts[4] > 0
+            assert len(rows) > 0.5 * len(before)
+        docs = spark.createDataFrame(rows, docs.schema)
+        before = after
 
 
 def test_registered():
@@ -32,3 +60,11 @@ def test_registered():
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q
 
+
+def test_held_out_rule(spark):
+    from pyspark.sql import functions as F
+
+    from keyframe.llm.common import held_out
+
+    got = {r.id: r.h for r in spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}
