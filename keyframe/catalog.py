@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dataset import FrameDataset
@@ -37,7 +37,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def micros(column: str) -> F.Column:
+def micros(column: str) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
     return F.unix_micros(F.to_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone()))
 
@@ -47,7 +47,7 @@ def events(spark: SparkSession, sf_dir: str) -> FrameDataset:
     return FrameDataset(df, EVENT, "events")
 
 
-def cents(column: str) -> F.Column:
+def cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
@@ -304,11 +304,10 @@ simple("preview_cells", lineitem, lambda x: x.df.select("l_orderkey", "l_linenum
 
 # ---- pages
 
-_LABEL = F.when((F.col("event_type") == "purchase") & (F.col("user_id") % 97 == 0), 1).otherwise(0)
-
 
 def zones(x: FrameDataset) -> DataFrame:
-    return pages.zone_map(x, PAGE_ROWS, _LABEL)
+    label = F.when((F.col("event_type") == "purchase") & (F.col("user_id") % 97 == 0), 1).otherwise(0)
+    return pages.zone_map(x, PAGE_ROWS, label)
 
 
 _Z = "page_id, first_frame_index, frame_count, first_key, last_key, label"
