@@ -247,7 +247,7 @@ def _table(x: FrameDataset) -> DataFrame:
 
 
 simple("string_table", events, _table, f"SELECT idx, value FROM {_STRINGS}")
-simple("string_encode", events, lambda x: strings.encode(x.df, _table(x), "event_type", "code").select("event_id", "code"), f"SELECT event_id, idx AS code FROM events JOIN {_STRINGS} ON event_type = value")
+simple("string_encode", events, lambda x: strings.encode(x.df, _table(x), "event_type", "code").select("event_id", "code"), f"SELECT e.event_id, s.idx AS code FROM events e JOIN {_STRINGS} s ON e.event_type = s.value")
 simple("string_decode", events, lambda x: strings.decode(strings.encode(x.df, _table(x), "event_type", "code").select("event_id", "code"), _table(x), "code", "event_type").select("event_id", "event_type"), "SELECT event_id, event_type FROM events")
 simple("string_reverse_last", events, lambda x: strings.reverse(_table(x).union(_table(x).select(F.col("idx") + 100, "value").where("idx % 2 = 0"))), f"SELECT value, max(idx) AS idx FROM (SELECT idx, value FROM {_STRINGS} UNION ALL SELECT idx + 100, value FROM {_STRINGS} WHERE idx % 2 = 0) GROUP BY value")
 simple("string_table_merge_conflicts", events, lambda x: strings.conflicts(_table(x), _table(x).select("idx", F.when(F.col("idx") == 1, "other").otherwise(F.col("value")).alias("value"))), f"SELECT idx, value AS left_value, 'other' AS right_value FROM {_STRINGS} WHERE idx = 1 AND value <> 'other'")
