@@ -165,12 +165,14 @@ class Group:
     def __init__(self, t, groups: int, splitters: np.ndarray) -> None:
         import pyarrow.compute as pc
 
-        kind, ids = np.asarray(t.column("kind")), t.column("id")
         d = t.filter(pc.equal(t.column("kind"), 0))
         d = d.take(pc.sort_indices(d, [("id", "ascending"), ("data", "ascending")]))
         self.ids = d.column("id").to_pylist()
         self.data, self.offs = text_buffer(d.column("data"))
-        self.copies = set(ids.filter(np.equal(kind, 3)).to_pylist())
+        c = t.filter(pc.equal(t.column("kind"), 3))
+        copies = set(zip(c.column("id").to_pylist(), c.column("data").to_pylist(), strict=True))
+        some = {i for i, _ in copies}
+        self.copy = np.array([i in some and (i, hashlib.md5(self.data[a:b].tobytes()).digest()) in copies for i, a, b in zip(self.ids, self.offs[:-1], self.offs[1:], strict=True)], bool)
         shared = [np.zeros(0, U64)]
         s = t.filter(pc.equal(t.column("kind"), 1))
         for bucket, blob in zip(s.column("id").to_pylist(), s.column("data").to_pylist(), strict=True):
@@ -182,7 +184,7 @@ class Group:
         ok = np.zeros(len(key), bool)
         inside = hit < len(shared)
         ok[inside] = shared[hit[inside]] == key[inside]
-        usable = np.array([x is not None and x not in self.copies for x in self.ids], bool)
+        usable = np.array([x is not None for x in self.ids], bool) & ~self.copy
         ok &= usable[row] if len(row) else ok
         self.row, self.at = row[ok], at[ok]
         doc = np.array([x or 0 for x in self.ids], np.int64)[self.row] if len(self.ids) else np.zeros(0, np.int64)
@@ -385,7 +387,7 @@ def _cut_texts(groups: int, splitters: np.ndarray, with_text: bool):
         for i, doc in enumerate(g.ids):
             a, b = g.offs[i], g.offs[i + 1]
             cutting = gone[a:b]
-            if doc is not None and doc in g.copies and b - a >= LENGTH:
+            if g.copy[i] and b - a >= LENGTH:
                 cutting = np.ones(b - a, bool)
             removed = int(cutting.sum())
             spans = int(cutting[:1].sum()) + int((cutting[1:] & ~cutting[:-1]).sum()) if removed else 0
@@ -401,13 +403,13 @@ def _cut_texts(groups: int, splitters: np.ndarray, with_text: bool):
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text left, if asked for)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"), F.octet_length(text).cast("long").alias("bytes"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"), F.octet_length(text).cast("long").alias("bytes"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     keyed = cut(keyed)
     total = keyed.agg(F.sum("bytes")).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
     group = F.pmod(F.xxhash64(F.floor(F.col("doc_id") / ID_BLOCK)), F.lit(groups)).cast("int")
     classes = keyed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = cut(keyed.join(classes, ["h1", "h2"]).where("doc_id > first").select("doc_id").distinct())
+    copies = cut(keyed.join(classes, ["h1", "h2"]).where("doc_id > first").select("doc_id", "digest").distinct())
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("data")).withColumn("g", F.coalesce(group, F.lit(0)))
     posted = texts.where("doc_id is not null").select("doc_id", "g", "data").mapInArrow(_post_anchors(groups), "bucket int, g int, data binary")
@@ -419,7 +421,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     release(docs.sparkSession)
     rows = texts.select("g", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "data")
     rows = rows.union(shared.where("g >= 0").select("g", F.lit(1), "id", "data"))
-    rows = rows.union(copies.select(group, F.lit(3), "doc_id", F.lit(None).cast("binary")))
+    rows = rows.union(copies.select(group, F.lit(3), "doc_id", "digest"))
     runs = rows.groupBy("g").applyInArrow(_make_runs(groups, splitters), "range int, g int, data binary")
     answers = cut(runs.groupBy("range").applyInArrow(_merge_range, "g int, id long, data binary"))
     release(docs.sparkSession)

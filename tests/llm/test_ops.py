@@ -184,6 +184,7 @@ def repeat_texts():
 def test_suffixes(spark):
     texts = repeat_texts()
     check_suffixes(spark, texts)
+    check_suffixes(spark, texts, ids=[i // 2 for i in range(len(texts))])
     check_suffixes(spark, texts[::-1], ids=[None if i % 9 == 0 else 3 * i for i in range(len(texts))])
     check_suffixes(spark, [])
 
