@@ -1,11 +1,14 @@
 """Document fingerprints by winnowing, in DataFrame operations only (operator 9).
 
-A text is its sequence of words (runs of characters other than blanks).  Every
-GRAM consecutive words are hashed; of each WINDOW consecutive hashes the least is
-chosen, the rightmost of equals, and kept with its position.  Two texts that
-share GRAM + WINDOW - 1 consecutive words share a mark.  A text with fewer words
-than GRAM has one gram, one with fewer grams than WINDOW one window; a text
-without words has no marks.
+A text is its sequence of code points, blanks among them.  Every CHARS consecutive
+ones are hashed; of each SPAN consecutive hashes the least is chosen, the
+rightmost of equals, and kept with its position.  Two texts that share
+CHARS + SPAN - 1 = 23 consecutive code points share a mark.  In a text with fewer
+than WINDOWS * SPAN grams the span is halved until WINDOWS of it fit (1 at least),
+so short texts keep several marks; the least of a window is the least of every
+smaller one that holds it, so what is shared is found across sizes too, and two
+texts of 15 code points or more that share their first half share a mark.  A text
+with fewer code points than CHARS has one gram; an empty one has no marks.
 
 A mark is one long: HASH_BITS of the hash above POSITION_BITS that count down
 from the largest position, so the least long of a window is the least hash and,
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+CHARS, SPAN, WINDOWS = 8, 16, 8
+#: The same rule over words (`with_marks`), which no query uses.
 GRAM, WINDOW = 3, 8
 HASH_BITS, POSITION_BITS = 35, 28
 BUCKET, SUPER = 1024, 4096
@@ -35,16 +40,36 @@ MAX_BROADCAST = 200_000
 BLANKS = " \t\n\x0b\f\r"
 
 
+def _mark(h: Column, at) -> Column:
+    return F.shiftleft(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)), POSITION_BITS) + (F.lit((1 << POSITION_BITS) - 1) - at)
+
+
+def _wider(least: str, step: int) -> Column:
+    """The least of each `step` neighbours -> the least of each 2 * step."""
+    return F.transform(F.slice(least, 1, F.size(least) - step), lambda x, i: F.least(x, F.get(F.col(least), i + step)))
+
+
+def with_char_marks(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the array of marks of column `text`, over its code points, as column `out`."""
+    df = df.withColumn("_b", F.array(F.encode(F.col(text), "UTF-32"))).withColumn("_m", F.char_length(text))
+    # 4 bytes each, so a gram is found without reading what lies before; bytes held by a lambda's variable are not copied for each gram
+    grams = F.transform("_b", lambda b: F.transform(F.sequence(F.lit(0), F.col("_m") - CHARS), lambda i: _mark(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHARS))), i)))[0]
+    few = F.when(F.col("_m") > 0, F.array(_mark(F.xxhash64(F.col("_b")[0]), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("_g", F.when(F.col("_m") >= CHARS, grams).otherwise(few)).withColumn("_n", F.size("_g"))
+    step = 1
+    while step < SPAN:
+        df = df.withColumn("_g", F.when(F.col("_n") >= 2 * step * WINDOWS, _wider("_g", step)).otherwise(F.col("_g")))
+        step *= 2
+    return df.withColumn(out, F.array_distinct("_g")).drop("_b", "_m", "_g", "_n")
+
+
 def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the array of marks of column `text` as column `out`."""
+    """Add the array of marks of column `text`, over its words, as column `out`."""
     words = F.filter(F.split(F.translate(F.col(text), BLANKS[1:], BLANKS[0] * (len(BLANKS) - 1)), BLANKS[0]), lambda w: w != "")
     df = df.withColumn("_w", words).withColumn("_m", F.size("_w"))
 
-    def mark(h: Column, at) -> Column:
-        return F.shiftleft(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)), POSITION_BITS) + (F.lit((1 << POSITION_BITS) - 1) - at)
-
-    grams = F.transform(F.slice("_w", 1, F.col("_m") - (GRAM - 1)), lambda x, i: mark(F.xxhash64(x, *[F.get(F.col("_w"), i + j) for j in range(1, GRAM)]), i))
-    few = F.when(F.col("_m") > 0, F.array(mark(F.xxhash64("_w"), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.transform(F.slice("_w", 1, F.col("_m") - (GRAM - 1)), lambda x, i: _mark(F.xxhash64(x, *[F.get(F.col("_w"), i + j) for j in range(1, GRAM)]), i))
+    few = F.when(F.col("_m") > 0, F.array(_mark(F.xxhash64("_w"), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_g", F.when(F.col("_m") >= GRAM, grams).otherwise(few)).withColumn("_n", F.size("_g"))
     slide = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_n") - (WINDOW - 1)), lambda i: F.array_min(F.slice(F.col("_g"), i, WINDOW))))
     short = F.when(F.col("_n") > 0, F.array(F.array_min("_g"))).otherwise(F.array().cast("array<bigint>"))
@@ -83,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lost = -1 - F.pmod(F.xxhash64("text"), F.lit(4096))  # rows without id, away from the others
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNotNull(), F.floor(F.col("doc_id") / BUCKET)).otherwise(lost))
     all_rows = rows.withColumn("guest", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))).unionByName(followers(rows).withColumn("guest", F.lit(1)))
-    t = with_marks(all_rows.repartition("bucket"), "text", "marks")
+    t = with_char_marks(all_rows.repartition("bucket"), "text", "marks")
     w = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
     alone = F.col("guest") < 0
     nothing = F.array().cast("array<bigint>")
@@ -91,7 +116,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     t = t.where("guest < 1").withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     t = t.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substring(F.col("next"), F.lit(1), F.col("half"))))
     t = t.select("doc_id", "n_chars", "marks", "next_marks", "edited", F.sha2("edited", 256).alias("edited_sha256"))
-    t = with_marks(t, "edited", "edited_marks")
+    t = with_char_marks(t, "edited", "edited_marks")
     t = t.withColumn("h", hashes("marks")).withColumn("he", hashes("edited_marks")).withColumn("hn", hashes("next_marks"))
     return t.select(
         "doc_id", "n_chars", "edited_sha256", as_text("marks").alias("fingerprint"), as_text("edited_marks").alias("edited_fingerprint"), likeness("h", "he").alias("near_edited"), likeness("h", "hn").alias("near_next")

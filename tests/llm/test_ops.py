@@ -554,6 +554,30 @@ def test_winnowing_rule(spark):
     assert {v >> POSITION_BITS for v in found[-1]} & {v >> POSITION_BITS for v in found[-2]}
 
 
+def test_winnowing_short_and_blank_free(spark):
+    """Marks in code points: what keeps its first half shares a mark, with few words or none."""
+    from keyframe.llm.op9_winnowing import CHARS, HASH_BITS, POSITION_BITS, SPAN, WINDOWS, fingerprints, with_char_marks
+
+    r = random.Random(20)
+    texts = ["".join(r.choices("abcdefg ", k=n)) for n in (15, 16, 17, 23, 40, 60, 134, 135, 300)]
+    texts += ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(n)) for n in (15, 20, 80)] + ["".join(r.choices("ab", k=200)), "😀" * 30, "short", "x"]
+    got = fingerprints(frame(spark, texts)).collect()
+    assert all(x.near_edited > 0 for x in got if x.n_chars >= 15 and x.n_chars == len(texts[x.doc_id]))
+    a = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(200))
+    pair = fingerprints(frame(spark, [a, a[:100] + "x" + a[101:]])).collect()
+    assert all(x.near_next > 0.6 for x in pair)
+
+    found = [x.m for x in with_char_marks(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "m").collect()]
+    whole = [[t[i : i + CHARS] for i in range(max(1, len(t) - CHARS + 1))] for t in texts]
+    grams = sorted({g for w in whole for g in w})
+    h = spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.xxhash64(F.encode("g", "UTF-32")).alias("h")).collect()
+    hashed = {x.g: x.h & ((1 << HASH_BITS) - 1) for x in h}
+    for w, m in zip(whole, found, strict=True):
+        n = next((n for n in (16, 8, 4, 2) if n <= SPAN and len(w) >= n * WINDOWS), 1)
+        want = {min((hashed[w[j]], -j) for j in range(i, i + n)) for i in range(len(w) - n + 1)}
+        assert {(v >> POSITION_BITS, (v & ((1 << POSITION_BITS) - 1)) - ((1 << POSITION_BITS) - 1)) for v in m} == want and len(m) == len(want)
+
+
 # ---------------------------------------------------------------- 10
 
 
