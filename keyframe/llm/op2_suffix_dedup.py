@@ -355,7 +355,7 @@ def _make_runs(groups: int, splitters: np.ndarray):
         g = Group(t, groups, splitters)
         out = []
         cuts = np.flatnonzero(np.concatenate([[True], g.range[1:] != g.range[:-1]])) if len(g.range) else []
-        for s, e in zip(cuts, [*cuts[1:], len(g.range)], strict=True):
+        for s, e in zip(cuts, [*cuts[1:], len(g.range)][: len(cuts)], strict=True):
             out.append((int(g.range[s]), key[0].as_py(), encode_run(g.ctx[s:e], g.doc[s:e])))
         x = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"range": pa.array(x[0], pa.int32()), "g": pa.array(x[1], pa.int32()), "data": pa.array(x[2], pa.binary())})
@@ -383,25 +383,32 @@ def _cut_texts(groups: int, splitters: np.ndarray, with_text: bool):
         np.add.at(delta, (g.at - e)[hit], 1)
         np.add.at(delta, (g.at - f + LENGTH)[hit], -1)
         gone = np.cumsum(delta[:-1]) > 0
-        out = []
+        out, seen = [], set()
         for i, doc in enumerate(g.ids):
             a, b = g.offs[i], g.offs[i + 1]
+            own = (doc, hashlib.md5(g.data[a:b].tobytes()).digest()) if with_text and doc is not None else None
             cutting = gone[a:b]
             if g.copy[i] and b - a >= LENGTH:
                 cutting = np.ones(b - a, bool)
             removed = int(cutting.sum())
             spans = int(cutting[:1].sum()) + int((cutting[1:] & ~cutting[:-1]).sum()) if removed else 0
             kept = (g.data[a:b][~cutting] if removed else g.data[a:b]).tobytes()
-            out.append((doc, int(b - a), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-        x = list(zip(*out, strict=True)) or [()] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table({n: pa.array(v, k) for n, v, k in zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], x, types, strict=True)})
+            out.append((doc, int(b - a), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, own[1] if own else None, own in seen))
+            if own:
+                seen.add(own)
+        x = list(zip(*out, strict=True)) or [()] * 8
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
+        return pa.table({n: pa.array(v, k) for n, v, k in zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "digest", "again"], x, types, strict=True)})
 
     return run
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text left, if asked for)."""
+    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text left, if asked for).
+
+    With the text come digest, the MD5 of the text as it was (null without id),
+    and again, true for a row whose id and text an earlier row has.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"), F.octet_length(text).cast("long").alias("bytes"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     keyed = cut(keyed)
@@ -426,7 +433,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     answers = cut(runs.groupBy("range").applyInArrow(_merge_range, "g int, id long, data binary"))
     release(docs.sparkSession)
     rows = rows.union(answers.select("g", F.lit(2), "id", "data"))
-    return rows.groupBy("g").applyInArrow(_cut_texts(groups, splitters, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = rows.groupBy("g").applyInArrow(_cut_texts(groups, splitters, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, digest binary, again boolean")
+    return out if with_text else out.drop("digest", "again")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,8 +444,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without the repeated bytes; a document of which nothing but blanks is left goes.
 
-    Bytes of characters that a cut has split go too.
+    Bytes of characters that a cut has split go too.  Rows meet their texts by id
+    and text, so each row of a shared id has its own text once.  Rows without id,
+    of which nothing is cut, stay as they are unless blank.
     """
-    left = remove_repeats(docs, with_text=True).where(F.length(F.trim("kept")) > 0).select("doc_id", "kept")
-    out = docs.drop("text", "n_chars").join(left, "doc_id").withColumnRenamed("kept", "text").withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(docs.columns)
+    left = remove_repeats(docs, with_text=True).where("doc_id is not null and not again").where(F.length(F.trim("kept")) > 0)
+    left = left.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.where("doc_id is not null").withColumn("_text", F.unhex(F.md5(text.cast("binary")))).drop("text", "n_chars")
+    out = rows.join(left, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_digest"))).withColumnRenamed("_kept", "text")
+    out = out.unionByName(docs.where("doc_id is null").where(F.length(F.trim(text)) > 0).drop("n_chars"), allowMissingColumns=True)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)

@@ -52,6 +52,22 @@ def test_stages(spark):
         before = after
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(spark, pairs):
+    return spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(pairs)], SCHEMA)
+
+
+def test_repeats_keep_rows_apart(spark):
+    """Rows that share an id, repeated rows and rows without id: each once, with its own text."""
+    from keyframe.llm.op2_suffix_dedup import drop_repeats
+
+    pairs = [(1, "one text"), (1, "another"), (1, "one text"), (2, "two"), (None, "lost"), (None, "lost"), (None, "gone astray"), (3, " "), (None, None)]
+    out = drop_repeats(spark, rows_of(spark, pairs), DIR).collect()
+    assert sorted((str(r.doc_id), r.text, r.source, r.n_chars) for r in out) == sorted((str(i), t, f"s{k}", len(t)) for k, (i, t) in enumerate(pairs) if (t or "").strip())
+
+
 def test_registered():
     import __spark_entry__ as e
 
