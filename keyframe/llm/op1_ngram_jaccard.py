@@ -64,8 +64,8 @@ def _sketches(batches):
             keys.append(t[:KEYS].astype(np.int64))
             sketch.append(t[:SKETCH].astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-            names=["doc_id", "n", "h1", "h2", "keys", "sketch"],
+            [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+            names=["doc_id", "t", "n", "h1", "h2", "keys", "sketch"],
         )
 
 
@@ -174,10 +174,19 @@ def _all_links(c: DataFrame, exposed: DataFrame | None, payload: DataFrame, run)
     return components(as_edges.union(_linked(_across(large.select("block", "node"), labels), payload, run)))
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> one row per row: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(docs.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch binary"))
+    return _components(docs).drop("t")
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """The same with t, the hash of the row's text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("t"))
+    base = cut(docs.mapInArrow(_sketches, "doc_id long, t long, n long, h1 long, h2 long, keys array<long>, sketch binary"))
     sets = cut(base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     reps = sets.where("n > 1").select(F.col("rep").alias("doc_id"), "h1", "h2")
     firsts = base.join(reps, ["doc_id", "h1", "h2"], "left_semi")
@@ -195,8 +204,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = _all_links(cut(_chunked(group.join(size, "block"))), None, texts, _join_texts)
 
     classes = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"))
-    out = base.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(classes, ["h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = base.select("doc_id", "t", F.col("n").alias("n_shingles"), "h1", "h2").join(classes, ["h1", "h2"], "left")
+    return out.select("doc_id", "t", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,9 +213,20 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays."""
-    found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: of each component one row with the smallest id stays.
+
+    Rows that share that id and belong to its component (as op1 has it, by id) are
+    one document: one with words stays before an empty one, then the least text
+    hash, and of repeated rows any one.  Rows without id have no component and stay.
+    """
+    found = _components(docs).where("doc_id = component_id")
+    found = found.groupBy("doc_id", "t").agg(F.count("*").alias("rows"), F.min(F.col("n_shingles") == 0).alias("empty"))
+    best = found.groupBy("doc_id").agg(F.min(F.struct("empty", "t", "rows")).alias("best"))
+    best = best.select(F.col("doc_id").alias("_id"), F.col("best.t").alias("_t"), (F.col("best.rows") > 1).alias("_again"))
+    rows = docs.withColumn("_text", _text_hash())
+    rows = rows.join(best, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_t")))
+    once = rows.where("not _again").unionByName(rows.where("_again").dropDuplicates(["_id"]))
+    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 ORACLE_SQL = r"""

@@ -68,6 +68,17 @@ def test_repeats_keep_rows_apart(spark):
     assert sorted((str(r.doc_id), r.text, r.source, r.n_chars) for r in out) == sorted((str(i), t, f"s{k}", len(t)) for k, (i, t) in enumerate(pairs) if (t or "").strip())
 
 
+def test_near_duplicates_keep_one_row(spark):
+    """Rows without id stay; repeated rows and rows of a shared id are one; a row of another component goes."""
+    from keyframe.llm.op1_ngram_jaccard import keep_one
+
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    pairs = [(None, a), (None, None), (1, a), (1, a), (2, a), (2, b), (3, a), (4, "alone in the world here"), (5, None), (5, None), (6, "")]
+    out = [(str(r.doc_id), r.text or "") for r in keep_one(spark, rows_of(spark, pairs), DIR).collect()]
+    want = [("1", a), ("2", b), ("4", "alone in the world here"), ("5", ""), ("6", ""), ("None", ""), ("None", a)]
+    assert sorted(out) == want
+
+
 def test_registered():
     import __spark_entry__ as e
 
