@@ -2,9 +2,11 @@
 
 PIVOTS vectors, sampled by the hash of their id, are the pivots.  Each vector is
 represented by the order of all pivots by their nearness to it, and is posted in
-the inverted file of each of its POSTED nearest.  A query visits the files of its
-VISITED nearest pivots, ranks what is posted there by footrule distance between
-the two orders, and reranks the nearest RERANK_SHARE of it (RERANK at least) by the
+the inverted file of each of its POSTED nearest, or of more if it is long: the
+number grows with the square of its length over the median length, up to all
+pivots.  A query visits the files of its
+VISITED nearest pivots, ranks what is posted there by its length times the cosine
+that the footrule distance between the two orders stands for, and reranks the nearest RERANK_SHARE of it (RERANK at least) by the
 exact inner product in double precision.
 
 Every vector is indexed; only the pivots are a sample.  A file is cut into
@@ -50,7 +52,13 @@ def footrule(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.abs(vectors - query).sum(axis=1, dtype=np.int64)
 
 
-def _post(pivots: np.ndarray, mod: int):
+def files(x: np.ndarray, median: float, pivots: int) -> np.ndarray:
+    """In how many files each row is posted."""
+    share = np.minimum(np.linalg.norm(x, axis=1) / median, pivots)
+    return np.clip(np.ceil(POSTED * share**2 - 1e-6), min(POSTED, pivots), pivots).astype(np.int64)
+
+
+def _post(pivots: np.ndarray, mod: int, median: float):
     def run(batches):
         import pyarrow as pa
 
@@ -63,10 +71,12 @@ def _post(pivots: np.ndarray, mod: int):
             place = places(order).astype(np.uint8)
             raw = x.astype(np.float64)
             who, where, kind = [], [], []
-            for j in range(min(POSTED, order.shape[1])):
-                who.append(np.arange(len(b)))
-                where.append(order[:, j])
-                kind.append(np.zeros(len(b), bool))
+            many = files(x, median, order.shape[1])
+            for j in range(many.max()):
+                v = np.flatnonzero(many > j)
+                who.append(v)
+                where.append(order[v, j])
+                kind.append(np.zeros(len(v), bool))
             q = np.flatnonzero(ids % mod == 0)
             for j in range(min(VISITED, order.shape[1])):
                 who.append(q)
@@ -74,7 +84,7 @@ def _post(pivots: np.ndarray, mod: int):
                 kind.append(np.ones(len(q), bool))
             who, where, kind = map(np.concatenate, (who, where, kind))
             data = [raw[i].tobytes() for i in range(len(b))]
-            code = [place[i].tobytes() for i in range(len(b))]
+            code = [place[i].tobytes() + bytes([many[i]]) for i in range(len(b))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(where.astype(np.int32)), pa.array(kind), pa.array(ids[who]), pa.array([code[i] for i in who], pa.binary()), pa.array([data[i] for i in who], pa.binary())],
                 names=["pivot", "query", "vec_id", "code", "data"],
@@ -91,20 +101,22 @@ def _search(nearest: int):
         is_query = np.asarray(t.column("query"))
         ids = np.asarray(t.column("vec_id"))
         place = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int16)
+        place, many = place[:, :-1], place[:, -1]
         x = np.frombuffer(b"".join(t.column("data").to_pylist()), np.float64).reshape(len(ids), -1)
         q, v = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         v = v[np.argsort(ids[v], kind="stable")]
-        vp, vx, vid = place[v], x[v], ids[v]
+        vp, vx, vid, vmany = place[v], x[v], ids[v], many[v][:, None]
+        norm = np.linalg.norm(vx, axis=1)
         out_q, out_v, out_s = [], [], []
         for i in q if len(v) else []:
             mine = vid != ids[i]
             earlier = np.flatnonzero(place[i] < place[i, pivot])
             if len(earlier):  # a pair is ranked in the first file where it meets
-                mine &= (vp[:, earlier] >= POSTED).all(axis=1)
+                mine &= (vp[:, earlier] >= vmany).all(axis=1)
             c = np.flatnonzero(mine)
             keep = max(RERANK, int(RERANK_SHARE * len(c)))
             if len(c) > keep:
-                d = footrule(place[i], vp[c])
+                d = -norm[c] * np.maximum(1 - 3 * footrule(place[i], vp[c]) / place.shape[1] ** 2, 1e-9)  # unrelated orders differ by a third of the square
                 c = c[d <= np.partition(d, keep - 1)[keep - 1]]
             s = np.einsum("ij,j->i", vx[c], x[i])
             best = np.lexsort((vid[c], -s))[:nearest]
@@ -130,7 +142,9 @@ def nearest(vectors: DataFrame, mod: int = QUERY_MOD, k: int = NEAREST) -> DataF
         return v.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     p = np.array([r.e for r in sample], np.float64)
     p /= np.linalg.norm(p, axis=1, keepdims=True)
-    posted = cut(v.mapInArrow(_post(p, mod), "pivot int, query boolean, vec_id long, code binary, data binary"))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, c: a + c * c))
+    median = v.agg(F.percentile_approx(length, 0.5)).first()[0]
+    posted = cut(v.mapInArrow(_post(p, mod, median), "pivot int, query boolean, vec_id long, code binary, data binary"))
     size = posted.groupBy("pivot").agg(F.count(F.when(~F.col("query"), 1)).alias("n"), F.count(F.when(F.col("query"), 1)).alias("q"))
     sizes = {r.pivot: (max(1, -(-r.n // BLOCK)), max(1, -(-r.q // QUERIES))) for r in size.collect()}  # one row per pivot
     width = F.create_map(*[F.lit(x) for i, s in sizes.items() for x in (i, s[0])])[F.col("pivot")]

@@ -606,3 +606,17 @@ def test_neighbours(spark):
     few = nearest(df.where("vec_id < 5 or vec_id >= 600")).collect()
     assert sorted((s.query_id, s.vec_id) for s in few) == [(0, v) for v in range(1, 5)]
     assert nearest(df.limit(0)).count() == 0
+
+
+def test_neighbours_of_unequal_length(spark):
+    from keyframe.llm.op10_permutation_ann import nearest
+
+    r = np.random.default_rng(21)
+    x = r.normal(size=(6000, 32))
+    x *= np.exp(r.normal(size=(6000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for s in nearest(df, mod=100).collect():
+        got.setdefault(s.query_id, set()).add(s.vec_id)
+    want = {q: {int(v) for v in np.argsort(-np.where(np.arange(6000) == q, -np.inf, x @ x[q]))[:20]} for q in range(0, 6000, 100)}
+    assert np.mean([len(got[q] & want[q]) for q in want]) >= 18
