@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -23,8 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Set a checkpoint folder only where the cluster names none (tests, local runs)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a compressed table, of which later steps read only the columns that they need."""
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints of steps that nothing refers to any more.
 
@@ -43,6 +58,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back to the machine; workers are reused by later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """run (batches -> batches), which gives its memory back at its end."""
+
+    def inner(batches):
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,6 +86,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) == HELD_OUT_REMAINDER, F.lit(False))
 
 
+#: Ids that follow each other are dealt to groups in blocks, so that a batch has rows for few groups.
+ID_BLOCK = 512
+#: Blocks of too many bytes that are broadcast; more are joined by a shuffle.
+HOT_BLOCKS = 100_000
+
+
+class Groups:
+    """Deals documents into groups of about group_bytes of text, by id and text hash.
+
+    A block of ids whose rows hold more than twice that, for the length or the number of its
+    rows, is spread over several groups by text; so are the rows without id.  Where there is
+    little text, groups are smaller, down to LEAST, so that there is one for each partition.
+    """
+
+    LEAST = 1 << 20
+
+    def __init__(self, rows: DataFrame, group_bytes: int, id_block: int) -> None:
+        """rows (doc_id, bytes)"""
+        self.id_block = id_block
+        sums = rows.groupBy(self._block(F.col("doc_id")).alias("block")).agg(F.sum("bytes").alias("bytes"))
+        sums = cut(sums)
+        total = sums.agg(F.sum("bytes")).first()[0] or 0
+        self.groups = max(1, -(-total // group_bytes), min(parts(rows.sparkSession), -(-total // min(self.LEAST, group_bytes))))
+        self.hot = sums.where(F.col("block").isNotNull() & (F.col("bytes") > 2 * group_bytes)).select(F.col("block").alias("_block"), F.ceil(F.col("bytes") / group_bytes).alias("_spread"))
+        self.n_hot = self.hot.count()
+
+    def _block(self, doc_id: Column) -> Column:
+        return F.floor(doc_id / self.id_block)
+
+    def deal(self, rows: DataFrame, text_hash: Column) -> DataFrame:
+        """rows with doc_id -> the same with their group, g."""
+        block = self._block(F.col("doc_id"))
+        spread = F.lit(None).cast("long")
+        if self.n_hot:
+            hot = F.broadcast(self.hot) if self.n_hot <= HOT_BLOCKS else self.hot
+            rows = rows.join(hot, block == F.col("_block"), "left")
+            spread = F.col("_spread")
+        salt = F.when(F.col("doc_id").isNull(), text_hash).when(spread.isNotNull(), F.pmod(text_hash, spread)).otherwise(F.lit(0))
+        return rows.withColumn("g", F.pmod(F.xxhash64(block, salt), F.lit(self.groups)).cast("int")).drop("_block", "_spread")
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker (functions are shipped by value)."""
     return sys.__dict__.setdefault("_keyframe_llm_cache", {})

@@ -1,45 +1,47 @@
 """N-gram Jaccard self-join by signature trees (operator 1).
 
-Sets of hashed word 5-grams link at Jaccard similarity >= 0.75.  Equal sets are
-folded into one representative first.  Then:
-
-1. Blocks.  Every set posts its KEYS smallest token hashes.  Hashes order the
-   tokens at random, so two sets of similarity s post no common key with
-   probability (1-s)^KEYS: 4^-32 = 5e-20 at the threshold, rarer than a clash of
-   64-bit hashes.
-2. Candidates.  Within a block, signature trees over the sets' SKETCH smallest
-   hashes are joined by dual traversal.  At the threshold 36 of 48 are common on
-   average; LEAST_COMMON = 12 asks for a third of that (a binomial tail below 1e-12).
-3. Links.  Connected candidates meet once more, with their whole sets, and
-   signature trees with exact bitmaps decide every pair by 100*i >= 75*u.
-
-A block of more than BLOCK rows is dealt into salted chunks that are joined one
-by one.  What a common passage draws together is mostly found elsewhere; rows
-for which a quarter of the keys lie in such blocks (a set made of hot tokens)
-are compared across chunks of WIDE rows too, as far as they are not yet connected,
-in the blocks of their EARLY first keys (4^-16 = 2e-10).
-Components are joined without listing the pairs inside a group of copies.
+Sets of hashed word 5-grams (64 bits) link at Jaccard similarity >= 0.75.  The search is exact:
+
+1. Shared tokens.  Every document posts its tokens, per (hash bucket, document group), as sorted
+   24-bit remainders with their number; a bucket answers with the logarithm of how many
+   documents hold each (0: no other; clashes only make a token look shared).  A set needs
+   three quarters of its tokens in common with a partner, so one with more lonely tokens
+   than that leaves has none and is done.
+2. Prefixes.  The rest is ordered from rare to common.  Of a linked pair, the larger set has a
+   token among its first n - ceil(3n/4) + 1 that the smaller has among its first
+   n - ceil(6n/7) + 1, and the larger's size is at most 4/3 of the smaller's.  Sets for which
+   this holds are joined to candidate components, through the least set of each (token, size class).
+3. Links.  Each component's whole sets meet once; signature trees with exact bitmaps,
+   joined by dual traversal, decide every pair by 100*i >= 75*u.
+
+A component of more than BLOCK rows (a long set counts as several) is dealt into salted chunks.
+Chunks are joined one by one, then each with the first; then chunks of WIDE rows in
+pairs, as far as they hold sets that are not yet connected, so no pair is left out.  Equal sets are folded first, so
+no pairs inside a group of copies are listed.
 
 Null doc_id: the row is returned with a null component.  Null, empty or blank
 text: an empty set, linked with nothing.  Repeated rows are returned as often as
-they come.  Other columns are ignored.
+they come.  Other columns are ignored.  A text of any length is one row: its task holds
+some 50 bytes for each of its words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, release, shingle_hashes, slices, table, text_buffer
+from .common import ID_BLOCK, U64, Groups, cut, mix, release, shingle_hashes, slices, table, text_buffer, trim, trimmed, written
 from .components import components
 from .signature_tree import Links, join
 
 WORDS, THRESHOLD = 5, 75
-KEYS, SKETCH, LEAST_COMMON = 32, 48, 12
-BLOCK, WIDE, EARLY = 256, 1024, 16
+GROUP_BYTES, SLICE = 12 << 20, 8 << 20
+BLOCK, WIDE, LONG = 256, 1024, 4096
+LOW_BITS = 24
 
 
 def token_sets(column, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -51,34 +53,129 @@ def token_sets(column, words: int = WORDS) -> Iterator[np.ndarray]:
             yield np.unique(s[at[r] : at[r + 1]])
 
 
-def _sketches(batches):
-    import pyarrow as pa
+def _bucket_keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket << LOW_BITS | remainder of each token hash."""
+    return (tokens >> U64(LOW_BITS)) % U64(buckets) << U64(LOW_BITS) | tokens & U64((1 << LOW_BITS) - 1)
+
+
+def _low_bytes(keys: np.ndarray) -> np.ndarray:
+    return keys.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : LOW_BITS // 8]
+
+
+def _post_tokens(buckets: int):
+    """Rows (g, text) -> rows (bucket, g, n, data): remainders, ascending, and how many sets hold each (at most 255)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            group = np.asarray(b.column(0))
+            _, offs = text_buffer(b.column(1))
+            for lo, hi in slices(offs, SLICE):
+                sets = list(token_sets(b.column(1).slice(lo, hi - lo)))
+                if not sum(map(len, sets)):
+                    continue
+                here, number = np.unique(group[lo:hi], return_inverse=True)
+                key = _bucket_keys(np.concatenate(sets), buckets) | np.repeat(number.astype(U64) << U64(48), [len(s) for s in sets])
+                key, many = np.unique(key, return_counts=True)
+                many = np.minimum(many, 255).astype(np.uint8)
+                run_of = key >> U64(LOW_BITS)
+                at = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]]))
+                low = _low_bytes(key & U64((1 << LOW_BITS) - 1))
+                out = [low[s:e].tobytes() + many[s:e].tobytes() for s, e in zip(at, np.append(at[1:], len(key)), strict=True)]
+                bucket = (run_of[at] & U64((1 << (48 - LOW_BITS)) - 1)).astype(np.int32)
+                g, n = here[(key[at] >> U64(48)).astype(np.int64)].astype(np.int32), np.diff(np.append(at, len(key))).astype(np.int32)
+                for i in range(0, len(at), 4000):
+                    j = slice(i, i + 4000)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[j]), pa.array(g[j]), pa.array(n[j]), pa.array(out[j], pa.binary())], names=["bucket", "g", "n", "data"])
+
+    return trimmed(run)
 
-    for b in batches:
-        n, h1, h2, keys, sketch = [], [], [], [], []
-        for t in token_sets(b.column(1)):
-            n.append(len(t))
-            with np.errstate(over="ignore"):
-                h1.append(int(mix(t + U64(1)).sum(dtype=U64).astype(np.int64)))
-                h2.append(int(mix(t + U64(0x51ED270B)).sum(dtype=U64).astype(np.int64)))
-            keys.append(t[:KEYS].astype(np.int64))
-            sketch.append(t[:SKETCH].astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-            names=["doc_id", "t", "n", "h1", "h2", "keys", "sketch"],
-        )
 
+def _count_tokens(key, t):
+    """Of one bucket: to each group, for each of its remainders in ascending order, the level (logarithm) of its number."""
+    import pyarrow as pa
 
-def _least_common(a, b):
-    """Common tokens that two sketches must have: a third of what is expected, or all that small sets need."""
-    return np.minimum(_least_whole(a, b), LEAST_COMMON)
+    groups, sizes, blobs = t.column("g").to_pylist(), t.column("n").to_pylist(), t.column("data").to_pylist()
+    low, many = [], []
+    for n, d in zip(sizes, blobs, strict=True):
+        x = np.zeros((n, 4), np.uint8)
+        x[:, : LOW_BITS // 8] = np.frombuffer(d, np.uint8, n * (LOW_BITS // 8)).reshape(n, -1)
+        low.append(x.view("<u4").ravel())
+        many.append(np.frombuffer(d, np.uint8, n, n * (LOW_BITS // 8)))
+    total = np.zeros(1 << LOW_BITS, np.uint32)
+    for x, m in zip(low, many, strict=True):  # distinct in each
+        total[x] += m
+    by: dict[int, list] = {}
+    for g, x in zip(groups, low, strict=True):
+        by.setdefault(g, []).append(x)
+    out = []
+    for g, own in by.items():
+        x = own[0] if len(own) == 1 else np.unique(np.concatenate(own))
+        out.append(np.floor(np.log2(total[x])).astype(np.uint8).tobytes())
+    del total
+    bucket = key[0].as_py()
+    return pa.table({"g": pa.array(list(by), pa.int32()), "id": pa.array([bucket] * len(by), pa.int64()), "data": pa.array(out, pa.binary())})
+
+
+def index_tokens(n: int) -> int:
+    """How many first tokens the smaller set of a pair needs: one more than those that may be outside the overlap."""
+    return n + (-2 * THRESHOLD * n) // (100 + THRESHOLD) + 1
+
+
+def probe_tokens(n: int) -> int:
+    return n + (-THRESHOLD * n) // 100 + 1
+
+
+def _survivors(buckets: int):
+    """Of one group: each row with its set's size and 128-bit hash; with prefix, text if it may have a partner."""
+
+    def run(key, t):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        d = t.filter(pc.equal(t.column("kind"), 0))
+        ids, salts, column = d.column("id").to_pylist(), d.column("t").to_pylist(), d.column("data").combine_chunks()
+        sets = list(token_sets(column))
+        size = np.array([len(s) for s in sets], np.int64)
+        usable = [s for s, i in zip(sets, ids, strict=True) if i is not None]
+        flat = np.concatenate([np.zeros(0, U64), *usable])
+        answers = t.filter(pc.equal(t.column("kind"), 1))
+        answers = sorted(zip(answers.column("id").to_pylist(), answers.column("data").to_pylist(), strict=True))
+        level = np.frombuffer(b"".join(x for _, x in answers), np.uint8)
+        if len(flat):
+            _, number = np.unique(_bucket_keys(flat, buckets), return_inverse=True)
+            level = level[number]
+        out, seen, at = [], {}, 0
+        with np.errstate(over="ignore"):
+            hashes = [(int(mix(s + U64(1)).sum(dtype=U64).astype(np.int64)), int(mix(s + U64(0x51ED270B)).sum(dtype=U64).astype(np.int64))) for s in sets]
+        for i in sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: ids[i], reverse=True):
+            seen[hashes[i]] = i  # the least id of each set
+        for i, s in enumerate(sets):
+            prefix = early = text = None
+            if ids[i] is not None:
+                mine = level[at : at + len(s)]
+                at += len(s)
+                alone, n = int((mine == 0).sum()), len(s)
+                if n and alone < probe_tokens(n) and seen[hashes[i]] == i:
+                    order = np.lexsort((s, mine))[alone : probe_tokens(n)]
+                    prefix, early, text = s[order].astype(np.int64), max(0, index_tokens(n) - alone), column[i]
+            out.append((ids[i], salts[i], int(size[i]), *hashes[i], prefix, early, text))
+        x = list(zip(*out, strict=True)) or [()] * 8
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        out = pa.table({n: pa.array(v, k) for n, v, k in zip(["doc_id", "t", "n", "h1", "h2", "prefix", "early", "text"], x, types, strict=True)})
+        trim()
+        return out
+
+    return run
 
 
 def _least_whole(a, b):
+    """Common tokens that two sets of these sizes need."""
     return (THRESHOLD * (a + b) + 99 + THRESHOLD) // (100 + THRESHOLD)
 
 
-def _blocks(batches, decode, least):
+def _blocks(batches):
     """Rows (block, node, n, payload) sorted by block -> links (a, b)."""
     import pyarrow as pa
 
@@ -87,8 +184,8 @@ def _blocks(batches, decode, least):
 
     def close():
         if len(ids) > 1:
-            tokens = [t for column in held for t in decode(column)]
-            join(np.array(ids, np.int64), np.array([len(t) for t in tokens], np.int64), tokens, least, links)
+            tokens = [t for column in held for t in token_sets(column)]
+            join(np.array(ids, np.int64), np.array([len(t) for t in tokens], np.int64), tokens, _least_whole, links)
 
     for b in batches:
         at = np.asarray(b.column(0))
@@ -108,24 +205,17 @@ def _blocks(batches, decode, least):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
 
-def _join_sketches(batches):
-    return _blocks(batches, lambda c: [np.frombuffer(x, np.uint32).astype(U64) for x in c.to_pylist()], _least_common)
-
-
-def _join_texts(batches):
-    return _blocks(batches, lambda c: list(token_sets(c)), _least_whole)
-
-
-def _linked(rows: DataFrame, payload: DataFrame, run) -> DataFrame:
-    """Links found within each block of rows (block, node); payload (node, data) comes along."""
-    t = rows.join(payload, "node").select("block", "node", "data")
-    return t.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+def _linked(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links found within each block of rows (block, node); texts (node, data) come along."""
+    t = rows.join(texts, "node").select("block", "node", "data")
+    return t.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(_blocks), "a long, b long")
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """Rows (block, node, early, size) -> (block, node, early, chunk, chunks): salted chunks of about BLOCK rows."""
-    chunks = F.ceil(F.col("size") / BLOCK).cast("long")
-    return rows.select("block", "node", "early", F.pmod(F.xxhash64("node", "block"), chunks).alias("chunk"), chunks.alias("chunks"))
+def _chunked(rows: DataFrame, n: DataFrame) -> DataFrame:
+    """Rows (block, node) and n (node, weight) -> (block, node, weight, chunk, chunks): salted chunks of a weight of about BLOCK."""
+    rows = rows.join(n, "node")
+    chunks = rows.groupBy("block").agg(F.ceil(F.sum("weight") / BLOCK).cast("long").alias("chunks"))
+    return rows.join(chunks, "block").select("block", "node", "weight", F.pmod(F.xxhash64("node", "block"), "chunks").alias("chunk"), "chunks")
 
 
 def _within(c: DataFrame) -> DataFrame:
@@ -134,18 +224,17 @@ def _within(c: DataFrame) -> DataFrame:
 
 def _anchored(c: DataFrame) -> DataFrame:
     """Chunk 0 of each large block beside each other chunk: linear in the block."""
-    c = c.where("chunks > 1")
     first = c.where("chunk = 0").select("block", "node", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("chunk"))
     return first.union(c.where("chunk > 0").select("block", "node", "chunk")).select(F.xxhash64(F.lit("anchor"), "block", "chunk").alias("block"), "node")
 
 
 def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of chunks for what is still apart: rows (block, node) of one label share families of chunks,
+    """Pairs of chunks for what is still apart: rows (block, node, weight) of one label share families of chunks,
     and no pair of chunks of one same label is made."""
-    t = rows.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
-    size = t.groupBy("block", "label").agg(F.count("*").alias("n"))
-    mixed = size.groupBy("block").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") < WIDE // 2, F.col("n")).otherwise(0)).alias("rest")).where("labels > 1")
-    size = size.join(mixed, "block").select("block", "label", F.when(F.col("n") >= WIDE // 2, F.col("label")).alias("family"), F.when(F.col("n") >= WIDE // 2, F.col("n")).otherwise(F.col("rest")).alias("size"))
+    t = rows.join(labels, "node", "left").select("block", "node", "weight", F.coalesce("label", "node").alias("label"))
+    size = t.groupBy("block", "label").agg(F.sum("weight").alias("w"))
+    mixed = size.groupBy("block").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("w") < WIDE // 2, F.col("w")).otherwise(0)).alias("rest")).where("labels > 1")
+    size = size.join(mixed, "block").select("block", "label", F.when(F.col("w") >= WIDE // 2, F.col("label")).alias("family"), F.when(F.col("w") >= WIDE // 2, F.col("w")).otherwise(F.col("rest")).alias("size"))
     t = t.join(size, ["block", "label"])
     chunks = F.ceil(F.col("size") / WIDE).cast("long")
     t = cut(t.select("block", "node", "family", F.when(F.col("family").isNull(), F.pmod(F.xxhash64("label"), chunks)).otherwise(F.pmod(F.xxhash64("node", "block"), chunks)).alias("chunk")))
@@ -157,21 +246,27 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return t.withColumn("id", F.xxhash64("block", "family", "chunk")).join(pairs, "id").select(F.col("pair").alias("block"), "node")
 
 
-def _all_links(c: DataFrame, exposed: DataFrame | None, payload: DataFrame, run) -> DataFrame:
-    """Labels after chunks, anchors and, for what stays apart, pairs of chunks."""
-    labels = components(_linked(_within(c), payload, run))
-    release(labels.sparkSession)
-    large = c.where("chunks > 1")
-    if exposed is not None:  # every block has chunks of its own, so what belongs together is mostly connected
-        large = large.where(F.col("early")).join(exposed, "node", "left_semi")
-    large = cut(large)
+def _edges(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
+def _all_links(c: DataFrame, texts: DataFrame) -> DataFrame:
+    """Labels (node, label) after chunks, anchors and, for what stays apart, pairs of chunks."""
+    labels = components(_linked(_within(c), texts))
+    large = cut(c.where("chunks > 1"))
     if large.isEmpty():
         return labels
-    as_edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    if exposed is None:
-        labels = components(as_edges.union(_linked(_anchored(large), payload, run)))
-    as_edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return components(as_edges.union(_linked(_across(large.select("block", "node"), labels), payload, run)))
+    labels = components(_edges(labels).union(_linked(_anchored(large), texts)))
+    return components(_edges(labels).union(_linked(_across(large.select("block", "node", "weight"), labels), texts)))
+
+
+def _candidates(firsts: DataFrame) -> DataFrame:
+    """firsts (node, n, prefix, early) -> edges (a, b) that join what may be linked, through hubs."""
+    size = F.floor(F.log(F.col("n")) / math.log(1.34))  # sizes of a linked pair, at most 4/3 apart, are in one class or two neighbours
+    posted = firsts.select("node", size.alias("size"), F.posexplode("prefix").alias("at", "token"), "early")
+    hubs = posted.where("at < early").groupBy("token", "size").agg(F.min("node").alias("hub"))
+    probes = posted.select("node", "token", F.explode(F.array("size", F.col("size") - 1)).alias("size"))
+    return probes.join(hubs, ["token", "size"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _text_hash():
@@ -185,23 +280,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def _components(docs: DataFrame) -> DataFrame:
     """The same with t, the hash of the row's text."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("t"))
-    base = cut(docs.mapInArrow(_sketches, "doc_id long, t long, n long, h1 long, h2 long, keys array<long>, sketch binary"))
-    sets = cut(base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    reps = sets.where("n > 1").select(F.col("rep").alias("doc_id"), "h1", "h2")
-    firsts = base.join(reps, ["doc_id", "h1", "h2"], "left_semi")
-    posted = firsts.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("at", "block")).select("node", "block", (F.col("at") < EARLY).alias("early"))
-    size = posted.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("block", "size")
-    rows = cut(posted.join(size, "block").select("block", "node", "early", "size"))
-    hot = rows.groupBy("node").agg(F.count(F.when(F.col("size") > BLOCK, 1)).alias("hot")).where("hot > 0")
-    exposed = firsts.select(F.col("doc_id").alias("node"), F.size("keys").alias("keys")).join(hot, "node").where("4 * hot >= keys").select("node")
-    sketches = firsts.select(F.col("doc_id").alias("node"), F.col("sketch").alias("data"))
-    near = _all_links(_chunked(rows), exposed, sketches, _join_sketches)
-
-    group = near.select("node", F.col("label").alias("block"), F.lit(True).alias("early"))
-    size = group.groupBy("block").agg(F.count("*").alias("size"))
-    texts = docs.join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("text").alias("data"))
-    labels = _all_links(cut(_chunked(group.join(size, "block"))), None, texts, _join_texts)
+    groups = Groups(docs.select("doc_id", F.octet_length("text").cast("long").alias("bytes")), GROUP_BYTES, ID_BLOCK)
+    buckets = 2 * groups.groups
+    docs = groups.deal(docs, F.col("t"))
+    posted = docs.where("doc_id is not null").select("g", "text").mapInArrow(_post_tokens(buckets), "bucket int, g int, n int, data binary")
+    levels = posted.groupBy("bucket").applyInArrow(_count_tokens, "g int, id long, data binary")
+    rows = docs.select("g", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "t", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    rows = rows.union(levels.select("g", F.lit(1), "id", F.lit(0).cast("long"), "data"))
+    base = written(rows.groupBy("g").applyInArrow(_survivors(buckets), "doc_id long, t long, n long, h1 long, h2 long, prefix array<long>, early int, text binary"))
+    release(spark)
+
+    sets = base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    left = base.where("prefix is not null")
+    reps = left.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    firsts = left.join(reps, ["h1", "h2", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
+    near = components(_candidates(firsts))
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n") / LONG)).cast("long")
+    sizes = firsts.groupBy("node").agg(F.sum(weight).alias("weight"))
+    chunks = cut(_chunked(near.select("node", F.col("label").alias("block")), sizes))
+    labels = _all_links(chunks, firsts.select("node", F.col("text").alias("data")))
 
     classes = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"))
     out = base.select("doc_id", "t", F.col("n").alias("n_shingles"), "h1", "h2").join(classes, ["h1", "h2"], "left")
