@@ -12,9 +12,11 @@ fitted by the gradient of the exact log-likelihood on PAGES pages made by
 Scripts, styles, comments in markup, form controls, heads and other parts that
 are never shown as text are left out in parsing.  Character references are
 decoded, white space inside a block becomes one space, blocks are joined by \\n.
-Null or empty html gives an empty text.  A page cut off in a tag ends before that
-tag.  Rows are independent: repeated rows give repeated results, null ids and
-urls are kept.  Other columns are ignored.
+An element that is never shown and never closed hides what stands before the next
+block.  Null or empty html gives an empty text.  A page cut off in a tag ends before that
+tag.  A marginal of exactly CUT counts as content.  Rows are independent: repeated rows
+give repeated results, null ids and urls are kept.  Other columns are ignored.  A page of
+any length is one row: its task holds its tree, some 500 bytes for each block.
 """
 
 from __future__ import annotations
@@ -32,16 +34,16 @@ from .common import table
 
 CUT, PAGES, ROUNDS, RATE, PENALTY = 0.5, 240, 60, 0.1, 1e-3
 #: Fixed values of HTML: elements by how they lay out or hide their content.
-HIDDEN = frozenset("script style template noscript head iframe svg select option button textarea object canvas datalist dialog math audio video".split())
+HIDDEN = frozenset("script style template noscript head iframe svg select option button textarea title canvas datalist dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style textarea title noscript iframe template svg".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var video maction math menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
+RAW = frozenset("script style textarea title iframe".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: An element of the key ends an open one of its values, up to the nearest of the stops.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head"}}
 STOPS = frozenset("ul ol dl table body html".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|[=\"'])*)(>|\Z)", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 
@@ -56,6 +58,23 @@ class Block:
         self.depth = parent.depth + 1 if parent else 0
 
 
+def _past_hidden(page: str, tag: str, at: int) -> int:
+    """Where a hidden element ends that was opened before `at`."""
+    if tag in RAW:
+        end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+        return end.end() if end else len(page)
+    depth = 1
+    for m in re.compile(f"<(/?){tag}(?=[\\s/>])[^>]*>", re.I).finditer(page, at):
+        if m.group(1) or not m.group().endswith("/>"):
+            depth += -1 if m.group(1) else 1
+        if not depth:
+            return m.end()
+    for m in TOKEN.finditer(page, at):  # never closed
+        if m.group(2) and m.group(2).lower() not in INLINE:
+            return m.start()
+    return len(page)
+
+
 def parse(page: str) -> Block:
     """The tree of block elements with leaves (tag '#') of inline text."""
     root = Block("html", frozenset(), None)
@@ -71,11 +90,9 @@ def parse(page: str) -> Block:
                 here.children.append(leaf)
         parts, links = [], 0
 
-    at, n, deep = 0, len(page), 0
-    for m in TOKEN.finditer(page):
+    at, n = 0, len(page)
+    while m := TOKEN.search(page, at):
         start = m.start()
-        if start < at:
-            continue
         if start > at:
             parts.append(page[at:start])
             if in_link:
@@ -103,13 +120,9 @@ def parse(page: str) -> Block:
             elif tag in ("p", "br"):
                 parts.append(" ")
             continue
-        if tag in RAW or tag in HIDDEN:
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-            if tag == "head" and end is None:
-                end = re.compile(r"<body\b", re.I).search(page, at)
-                at = end.start() if end else n
-            else:
-                at = end.end() if end else n
+        if tag in HIDDEN:
+            if not m.group(3).endswith("/") or tag in RAW:
+                at = _past_hidden(page, tag, at)
             parts.append(" ")
             continue
         if tag in VOID:
@@ -142,7 +155,6 @@ def parse(page: str) -> Block:
         if b.depth > 200:  # markup that never closes: deeper elements stay at this depth
             b.depth = 200
         here = b
-        deep = max(deep, b.depth)
     if at < n:
         parts.append(page[at:])
         if in_link:
