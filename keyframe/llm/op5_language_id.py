@@ -2,30 +2,31 @@
 
 Texts are read in windows of LENGTH bytes.  Bytes are embedded; filters of
 several widths slide over the window; each filter's maximum goes through a
-rectifier into a softmax over the languages.  Trained with Adam on at most
-TRAIN_DOCS labelled documents, chosen by the hash of their id, WINDOWS windows
-of each.  A text's score is the mean of its windows' log-probabilities, weighted
-by their bytes.  Every byte of every text is read.
+rectifier into a softmax over the languages.  Trained with Adam on WINDOWS windows of
+each of a bounded sample of labelled documents: TRAIN_DOCS, an equal share of each
+language (LEAST_DOCS at least), chosen by the hash of their id.  A text's score is the
+mean of its windows' log-probabilities, weighted by their bytes.  Every byte of every
+text is read.
 
 In use, embedding and convolution become sums of table rows, one table for each
 two bytes of a filter, so a window costs a few gathers.
 
 lang_pred is `und` (score 0) if the text is null or has no letter, or if nothing
-could be learned.  A null doc_id counts as not held out.  Other columns are ignored.
+could be learned; letters are what Unicode counts in category L.  Ties go to the first
+language by name.  A null doc_id counts as not held out.  Repeated rows are repeated results.
+Other columns are ignored.  A text of any length is one row: its task holds some 10 bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table, text_buffer
+from .common import held_out, table, text_buffer, trimmed
 
 LENGTH, WIDTHS, FILTERS, EMBED = 512, (2, 3, 4), 12, 8
-TRAIN_DOCS, WINDOWS, EPOCHS, BATCH, RATE = 2400, 2, 4, 64, 0.01
+TRAIN_DOCS, LEAST_DOCS, WINDOWS, EPOCHS, BATCH, RATE = 2400, 24, 2, 4, 64, 0.01
 UNKNOWN = "und"
 
 
@@ -131,18 +132,20 @@ def windows(data: np.ndarray, offs: np.ndarray):
 
 def train(docs: DataFrame) -> tuple[ByteNet | None, list[str]]:
     """docs (doc_id, text, lang): learn from rows that are not held out."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = known.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "text").limit(4 * TRAIN_DOCS).collect()  # at most TRAIN_DOCS ids
-    rows = sorted((r for r in rows if has_letter(r.text)), key=lambda r: (r.doc_id is None, r.doc_id, r.text))
-    names = sorted({r.lang for r in rows})
-    if not rows:
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    names = sorted(r.lang for r in known.select(F.col("lang").cast("string").alias("lang")).distinct().collect())  # one row for each language
+    if not names:
         return None, []
-    rng, x, y = np.random.default_rng(4), [], []
-    for r in rows:
-        b = np.frombuffer(r.text.encode(), np.uint8)
-        for s in rng.integers(0, max(1, len(b) - LENGTH // 2), WINDOWS if len(b) > LENGTH else 1):
-            part = b[s : s + LENGTH]
+    size = F.char_length("text")
+    places = [F.pmod(F.xxhash64(F.lit(k), "doc_id", "text"), F.greatest(F.lit(1), size - LENGTH // 2)).cast("int") + 1 for k in range(WINDOWS)]
+    parts = F.array(*[F.substring(F.col("text"), p, F.lit(LENGTH)) for p in places])
+    rows = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("salt"), F.when(size > LENGTH, parts).otherwise(F.array("text")).alias("parts"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "salt"))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= max(LEAST_DOCS, TRAIN_DOCS // len(names))).collect()
+    x, y = [], []
+    for r in sorted(rows, key=lambda r: (r.order, r.salt, r.lang)):
+        for part in r.parts:
+            part = np.frombuffer(part.encode(), np.uint8)[:LENGTH]
             x.append(np.pad(part, (0, LENGTH - len(part))))
             y.append(names.index(r.lang))
     net = ByteNet(len(names))
@@ -151,7 +154,7 @@ def train(docs: DataFrame) -> tuple[ByteNet | None, list[str]]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and re.search(r"[^\W\d_]", text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _predict(net: ByteNet | None, names: list[str]):
@@ -179,7 +182,7 @@ def _predict(net: ByteNet | None, names: list[str]):
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return run
+    return trimmed(run)
 
 
 def identify(docs: DataFrame) -> DataFrame:
