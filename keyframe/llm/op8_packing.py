@@ -3,11 +3,13 @@
 Each document's ids, closed by id 0, are cut into full windows; what remains of
 it goes, longest first, to the open window with the least room that still
 holds it.  A segment tree over the room left (0 to WINDOW) finds that window.
-Windows are packed per salted group of about GROUP pieces, so each task is
-bounded; one group leaves a few windows short of full, whatever its size.
+Windows are packed per group of about GROUP pieces, dealt by their place in the
+written table of pieces, so each task is bounded, however long or often repeated a
+document is; one group leaves a few windows short of full, whatever its size.
 
 Null text: the document is its closing id.  Repeated rows are packed as often as
-they come; a null doc_id is kept.  Other columns are ignored.
+they come; a null doc_id is kept.  Other columns are ignored.  A text of any length
+is one row: its task holds some 50 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_buffer
+from .common import cut, table, text_buffer, trimmed
 from .tokens import token_rows
 
 WINDOW, GROUP, CLOSING = 1024, 40_000, 0
@@ -84,20 +86,19 @@ def _pieces(path: str, window: int):
     def run(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "salt", "start", "length", "ids_crc32", "doc_tokens"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for b in batches:
-            data, offs = text_buffer(b.column(2))
-            docs, salts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            data, offs = text_buffer(b.column(1))
             out = []
-            for doc, salt, ids in zip(docs, salts, token_rows(path, data, offs), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), token_rows(path, data, offs), strict=True):
                 ids = np.append(ids, np.uint32(CLOSING)).astype("<u4")
                 for s in range(0, len(ids), window):
                     p = ids[s : s + window]
-                    out.append((doc, salt, s, len(p), zlib.crc32(p.tobytes()), len(ids)))
+                    out.append((doc, s, len(p), zlib.crc32(p.tobytes()), len(ids)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return run
+    return trimmed(run)
 
 
 def _pack(window: int):
@@ -114,11 +115,11 @@ def _pack(window: int):
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text) -> doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("salt"), F.col("text").cast("string").alias("text"))
-    columns = "doc_id long, salt long, start long, length long, ids_crc32 long, doc_tokens long"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = cut(texts.mapInArrow(_pieces(path, window), columns))
     groups = max(1, -(-pieces.count() // GROUP))
-    t = pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.pmod("salt", F.lit(groups)).alias("g"))
+    t = pieces.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # the table is written, so places are fixed
     return t.groupBy("g").applyInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

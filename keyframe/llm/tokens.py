@@ -1,6 +1,7 @@
 """Byte-level BPE over whole batches.
 
-A text is cut into pieces by the vocabulary's own pattern, on arrays of
+A text is cut at the file's added tokens, each of which is one id, and then into
+pieces by the vocabulary's own pattern, on arrays of
 character classes; each distinct piece of a slice is encoded once and its ids
 are gathered for all its occurrences.  Results equal `tokenizers`' (tested).
 """
@@ -8,6 +9,7 @@ are gathered for all its occurrences.  Results equal `tokenizers`' (tested).
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from itertools import chain
 
@@ -15,8 +17,7 @@ import numpy as np
 
 from .common import slices, span_hashes, worker_cache
 
-#: Fixed values of the vocabulary's splitting pattern, and the code points that it counts as white space.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The code points that the vocabulary's splitting pattern counts as white space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = range(4)
 CACHED = 200_000
@@ -48,10 +49,16 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        added = file.get("added_tokens", [])
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has added tokens that take more than their own text")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        self.find_added = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         back = byte_alphabet()
-        ranks = {bytes(back[c] for c in word): i for word, i in vocabulary.items() if all(c in back for c in word) and not (word.startswith("<|") and word.endswith("|>"))}
-        self.piece = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        ranks = {bytes(back[c] for c in word): i for word, i in file["model"]["vocab"].items() if all(c in back for c in word) and i not in self.added.values()}
+        whole = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # the pieces are cut here
+        self.piece = whole.encode_ordinary
         self.classes = character_classes()
         self.known: dict[int, tuple[int, ...]] = {}
 
@@ -94,18 +101,26 @@ class Encoder:
         rows = np.searchsorted(at, offs)
         first = np.zeros(len(points) + 1, bool)
         first[rows] = True
-        begin = np.flatnonzero(self.starts(points, first[:-1]))
+        raw = data.tobytes()
+        spans = [(m.start(), m.end()) for lo, hi in zip(offs[:-1], offs[1:], strict=True) for m in self.find_added.finditer(raw, lo, hi)] if self.find_added and self.find_added.search(raw) else []
+        spans = np.searchsorted(at, np.array(spans, np.int64).reshape(-1, 2))
+        first[spans] = True
+        begin = self.starts(points, first[:-1])
+        for s, e in spans:
+            begin[s + 1 : e] = False
+        begin = np.flatnonzero(begin)
         b = at[begin]
         e = np.append(b[1:], len(data))
         uniq, where, inverse = np.unique(span_hashes(data, b, e, 101), return_index=True, return_inverse=True)
-        known, raw = self.known, data.tobytes()
+        known = self.known
         if len(known) > CACHED:
             known.clear()
         pieces = []
         for h, i in zip(uniq.tolist(), where.tolist(), strict=True):
             ids = known.get(h)
             if ids is None:
-                ids = known[h] = tuple(self.piece(raw[b[i] : e[i]]))
+                piece = raw[b[i] : e[i]]
+                ids = known[h] = (self.added[piece],) if piece in self.added else tuple(self.piece(piece.decode()))
             pieces.append(ids)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.array(list(chain.from_iterable(pieces)), np.uint32)
