@@ -8,8 +8,8 @@ of most weight in that comparison stay; their r are the inputs of a logistic
 regression with an L2 penalty.  A score is the sigmoid of the sum over a text's
 features.
 
-A label counts if it is 0 or 1 and its document has text; repeated labels of one
-document count once (the largest).  Null or empty texts, and all texts if nothing
+A label counts if it is 0 or 1 and its document has text, of TRAIN_BYTES at most;
+repeated labels of one document count once (the largest); one without id does not count.  Null or empty texts, and all texts if nothing
 could be learned, get the score of a text without features.  Other columns are ignored.
 """
 
@@ -19,9 +19,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, held_out, mix, slices, stream, table, text_buffer
+from .common import U64, held_out, mix, slices, stream, table, text_buffer, trimmed
 
-SIZES, TRAIN_DOCS, FEATURES = (4, 5, 6), 1200, 2000
+SIZES, TRAIN_DOCS, TRAIN_BYTES, FEATURES = (4, 5, 6), 1200, 1 << 16, 2000
 SMOOTH, PENALTY, STEPS = 0.5, 0.001, 500
 COUNT_BITS, FILTER_BITS, LEAST_DOCS = 22, 20, 4
 CUT = 0.3
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     known = labels.where(~held_out(F.col("doc_id")) & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).alias("y"))
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for y in (0, 1)]
     ids = F.broadcast(some[0].union(some[1]))  # at most 2 * TRAIN_DOCS rows
-    rows = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], np.array([r.y for r in rows]))
 
@@ -168,7 +168,7 @@ def _score(model: Model):
             s = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return run
+    return trimmed(run)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ of both kinds are known).
 
 A text without n-grams has weight 0 (log) and is drawn like any other.  Null
 text is empty.  Labels other than 0 and 1 do not count; repeated labels of a
-document count once (the smallest).  Rows that repeat are drawn together.
+document count once (the smallest).  Rows that repeat are drawn together, so more than k may come.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, slices, span_hashes, table, text_buffer, word_spans
+from .common import U64, cut, mix, slices, span_hashes, table, text_buffer, trimmed, word_spans
 
 BITS, GRAM, TRAIN_DOCS, SMOOTH, SEED, TEMPER = 15, 3, 4000, 0.5, 1234, 1000.0
 BUCKETS = 1 << BITS
@@ -96,7 +96,7 @@ def _weigh(ratio: np.ndarray):
                 n[lo:hi] = np.bincount(row, minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(w)], names=["doc_id", "salt", "n_grams", "log_weight"])
 
-    return run
+    return trimmed(run)
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
@@ -155,7 +155,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     raw = model(rows.select("text"))
     ratio = log_ratio(target, raw) if target.sum() else np.zeros(BUCKETS)
     weighed = cut(rows.mapInArrow(_weigh(ratio), "doc_id long, salt long, n_grams long, log_weight double").withColumn("tempered", F.col("log_weight") * TEMPER / (TEMPER + F.col("n_grams"))))
-    tried = weighed.join(F.broadcast(good.union(bad)), "doc_id").select("y", "tempered").limit(8 * TRAIN_DOCS).collect()
+    tried = weighed.join(F.broadcast(good.union(bad)), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("tempered").alias("tempered")).collect()  # one row for each of at most 2 * TRAIN_DOCS ids
     by = {y: np.array([r.tempered for r in tried if r.y == y]) for y in (0, 1)}
     bound = best_cut(by[1], by[0])
     keyed = weighed.withColumn("sample_key", F.col("tempered") + gumbel(seed, F.col("doc_id"), F.col("salt")))

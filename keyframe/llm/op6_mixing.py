@@ -14,7 +14,7 @@ the range where the budget ends, so a source with most of the rows needs no
 global sort.
 
 A token is a run of characters other than blanks.  Nulls in lang or source are
-names of their own (''); a text without tokens costs nothing and comes with every epoch in
+names of their own, apart from ''; a text without tokens costs nothing and comes with every epoch in
 which its turn comes.  Weights that are missing count as `default`; a level whose
 weights are all zero is shared evenly.
 """
@@ -33,6 +33,8 @@ SHARE, MAX_EPOCHS, SEED, RANGE_DOCS, MAX_LEAVES = 0.8, 2, 17, 2048, 100_000
 #: Target weights of the registered query, by level; other names have weight 1.
 WEIGHTS = {"domain": {"low": 3.0, "high": 2.0}, "lang": {"en": 5.0, "fr": 2.0, "de": 2.0, "es": 1.0}, "source": {"src0": 3.0}}
 LEVELS = ("domain", "lang", "source")
+#: Stands before the name of a language or source that is not null.
+NAMED = "="
 
 
 def domain_of(source: Column) -> Column:
@@ -57,7 +59,7 @@ def grow(leaves: list[tuple], weights: dict, default: float = 1.0) -> Node:
     for *path, tokens in sorted(leaves):
         node = root
         for level, name in zip(LEVELS, path, strict=True):
-            node = node.children.setdefault(name, Node(float(weights.get(level, {}).get(name, default))))
+            node = node.children.setdefault(name, Node(float(weights.get(level, {}).get(name.removeprefix(NAMED), default))))
         node.tokens += tokens
     return root
 
@@ -101,8 +103,8 @@ def tokens_of(text: Column) -> Column:
 def mix(docs: DataFrame, weights: dict = WEIGHTS, domain=domain_of, share: float = SHARE, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text, lang, source) -> doc_id, domain, lang, source, tokens, epoch, salt; a row for each time a document is taken."""
     spark = docs.sparkSession
-    name = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source")}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain(name["source"]).alias("domain"), name["lang"].alias("lang"), name["source"].alias("source"), tokens_of(F.col("text")).alias("tokens"), F.xxhash64(F.col("text").cast("string")).alias("salt"))
+    name = {c: F.coalesce(F.concat(F.lit(NAMED), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")}  # a null is '' until the end
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain(F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("domain"), name["lang"].alias("lang"), name["source"].alias("source"), tokens_of(F.col("text")).alias("tokens"), F.xxhash64(F.col("text").cast("string")).alias("salt"))
     rows = cut(rows)
     found = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(found) > MAX_LEAVES:
@@ -127,7 +129,8 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, domain=domain_of, share: float
     whole = t.where("full > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"))
     early = t.where("rest > 0 and before + sum <= rest").select(*columns, F.col("full").alias("epoch"))
     last = inside.withColumn("run", F.col("before") + run).where("run < rest").select(*columns, F.col("full").alias("epoch"))
-    return whole.union(early).union(last)
+    plain = {c: F.when(F.col(c) != "", F.substring(F.col(c), 2, 1 << 30)) for c in ("lang", "source")}
+    return whole.union(early).union(last).withColumns(plain)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
