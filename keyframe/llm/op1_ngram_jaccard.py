@@ -42,6 +42,8 @@ WORDS, THRESHOLD = 5, 75
 GROUP_BYTES, SLICE = 12 << 20, 8 << 20
 BLOCK, WIDE, LONG = 256, 1024, 4096
 LOW_BITS = 24
+#: Rows of (block, node) that are broadcast to the texts; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 
 
 def token_sets(column, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -207,7 +209,9 @@ def _blocks(batches):
 
 def _linked(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links found within each block of rows (block, node); texts (node, data) come along."""
-    t = rows.join(texts, "node").select("block", "node", "data")
+    rows = cut(rows)
+    few = rows.count() <= MAX_BROADCAST  # two integers each
+    t = texts.join(F.broadcast(rows) if few else rows, "node").select("block", "node", "data")
     return t.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(_blocks), "a long, b long")
 
 
@@ -260,12 +264,13 @@ def _all_links(c: DataFrame, texts: DataFrame) -> DataFrame:
     return components(_edges(labels).union(_linked(_across(large.select("block", "node", "weight"), labels), texts)))
 
 
-def _candidates(firsts: DataFrame) -> DataFrame:
-    """firsts (node, n, prefix, early) -> edges (a, b) that join what may be linked, through hubs."""
-    size = F.floor(F.log(F.col("n")) / math.log(1.34))  # sizes of a linked pair, at most 4/3 apart, are in one class or two neighbours
-    posted = firsts.select("node", size.alias("size"), F.posexplode("prefix").alias("at", "token"), "early")
+def _candidates(left: DataFrame) -> DataFrame:
+    """left (node, n, prefix, early) -> edges (a, b) that join what may be linked, through hubs."""
+    size = F.floor(F.log(F.col("n")) / math.log(1.34)).cast("short")  # sizes of a linked pair, at most 4/3 apart, are in one class or two neighbours
+    posted = left.select("node", size.alias("size"), F.posexplode("prefix").alias("at", "token"), "early")
     hubs = posted.where("at < early").groupBy("token", "size").agg(F.min("node").alias("hub"))
-    probes = posted.select("node", "token", F.explode(F.array("size", F.col("size") - 1)).alias("size"))
+    hubs = hubs.select("token", "hub", F.explode(F.array("size", (F.col("size") + 1).cast("short"))).alias("size"))
+    probes = posted.select("node", "token", "size")
     return probes.join(hubs, ["token", "size"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
@@ -293,14 +298,12 @@ def _components(docs: DataFrame) -> DataFrame:
     release(spark)
 
     sets = base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    left = base.where("prefix is not null")
-    reps = left.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    firsts = left.join(reps, ["h1", "h2", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
-    near = components(_candidates(firsts))
+    left = base.where("prefix is not null").withColumnRenamed("doc_id", "node")  # of each set, one row of each group
     weight = F.greatest(F.lit(1), F.ceil(F.col("n") / LONG)).cast("long")
-    sizes = firsts.groupBy("node").agg(F.sum(weight).alias("weight"))
-    chunks = cut(_chunked(near.select("node", F.col("label").alias("block")), sizes))
-    labels = _all_links(chunks, firsts.select("node", F.col("text").alias("data")))
+    reps = left.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.max(weight).alias("weight")).groupBy("node").agg(F.sum("weight").alias("weight"))
+    near = components(_candidates(left.select("node", "n", "prefix", "early")))
+    chunks = cut(_chunked(near.select("node", F.col("label").alias("block")), reps))
+    labels = _all_links(chunks, left.select("node", F.col("text").alias("data")))
 
     classes = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"))
     out = base.select("doc_id", "t", F.col("n").alias("n_shingles"), "h1", "h2").join(classes, ["h1", "h2"], "left")
