@@ -19,10 +19,12 @@ to sort the suffixes that start at anchors.
 Texts meet their answers in groups of documents of about GROUP_BYTES.  Equal
 contexts are folded before the exchange, so a passage that a third of all
 documents share is sent once per group.  Whole copies are found by 128-bit
-hashes and need no suffixes.
+hashes and need no suffixes.  Splitters come from a bounded sample; where there are more
+groups than ranges between them, each range is split further by the hash of the anchor.
 
 Null text is empty.  A row without doc_id keeps all and covers nothing.
 Rows that share a doc_id do not cover each other.  Other columns are ignored.
+A text of any length is one row: its task holds some 15 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, release, slices, stream, table, text_buffer
+from .common import ID_BLOCK, U64, Groups, cut, mix, release, slices, stream, table, text_buffer, trim, trimmed
 
 LENGTH, K = 50, 24
 LEFT = LENGTH - K  # most bytes of a window before its anchor
 GRAMS = LEFT + 1
-GROUP_BYTES, ID_BLOCK = 12 << 20, 512
+GROUP_BYTES = 12 << 20
 SEGMENT = 1 << 20
 SAMPLED_GROUPS, SAMPLE = 256, 64
 WIDTH = LENGTH + LEFT + 2
@@ -88,6 +90,14 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(offs, at, "right") - 1, at, hashes
 
 
+def _runs_of(x: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each run of equal values; none of an empty array."""
+    if not len(x):
+        return []
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
+    return list(zip(at, [*at[1:], len(x)], strict=True))
+
+
 def _filter_key(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(32)) % U64(buckets)) << U64(32) | (h & U64(0xFFFFFFFF))
 
@@ -127,7 +137,7 @@ def _post_anchors(groups: int):
                 x = list(zip(*out[i : i + 4000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.binary())], names=["bucket", "g", "data"])
 
-    return run
+    return trimmed(run)
 
 
 def _shared_anchors(key, t):
@@ -152,8 +162,7 @@ def _shared_anchors(key, t):
         h, g = h[ok], g[ok]
         order = np.lexsort((h, g))
         h, g = h[order], g[order]
-        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else []
-        for s, e in zip(at, [*at[1:], len(g)], strict=True):
+        for s, e in _runs_of(g):
             out.append((int(g[s]), bucket, np.unique(h[s:e]).tobytes()))
     x = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table({"g": pa.array(x[0], pa.int32()), "id": pa.array(x[1], pa.int64()), "data": pa.array(x[2], pa.binary())})
@@ -210,8 +219,17 @@ class Group:
         self.ctx = s[first]
         self.doc = np.minimum.reduceat(doc[order], first) if n else doc
         self.occurrence_doc = doc
-        head = np.ascontiguousarray(self.ctx[:, :K]).view(f"S{K}").ravel()
-        self.range = np.searchsorted(splitters, head, "right")
+        del ctx, s, over
+        head = np.ascontiguousarray(self.ctx[:, :K])
+        self.range = np.searchsorted(splitters, head.view(f"S{K}").ravel(), "right")
+        split = -(-groups // (len(splitters) + 1))
+        if split > 1:
+            words = head.view(U64).reshape(-1, K // 8)
+            self.range = self.range * split + (mix(words[:, 0] + mix(words[:, 1] + mix(words[:, 2]))) % U64(split)).astype(np.int64)
+            by = np.argsort(self.range, kind="stable")
+            place = np.empty_like(by)
+            place[by] = np.arange(len(by))
+            self.of, self.ctx, self.doc, self.range = place[self.of], self.ctx[by], self.doc[by], self.range[by]
 
 
 def encode_run(ctx: np.ndarray, doc: np.ndarray) -> bytes:
@@ -332,8 +350,10 @@ def _merge_range(key, t):
 
     rows = sorted(zip(t.column("g").to_pylist(), t.column("data").to_pylist(), strict=True))
     runs = [decode_run(d) for _, d in rows]
-    text = [[r.tobytes() for r in right] for _, right, _, _ in runs]
+    text = [right.view(f"V{LENGTH}").ravel().tolist() for _, right, _, _ in runs]
+    runs = [(lcp, None, side, doc) for lcp, _, side, doc in runs]
     order, lcp = merge_runs([(s, r[0].tolist()) for s, r in zip(text, runs, strict=True)])
+    text.clear()
     order, lcp = np.array(order), np.array(lcp)
     size = np.array([len(r[0]) for r in runs])
     base = np.cumsum(size) - size
@@ -345,7 +365,10 @@ def _merge_range(key, t):
     f, e = np.empty_like(first), np.empty_like(last)
     f[at], e[at] = first, last
     data = [f[b : b + n].tobytes() + e[b : b + n].tobytes() for b, n in zip(base, size, strict=True)]
-    return pa.table({"g": pa.array([g for g, _ in rows], pa.int32()), "id": pa.array([key[0].as_py()] * len(rows), pa.int64()), "data": pa.array(data, pa.binary())})
+    out = pa.table({"g": pa.array([g for g, _ in rows], pa.int32()), "id": pa.array([key[0].as_py()] * len(rows), pa.int64()), "data": pa.array(data, pa.binary())})
+    del runs, text, side, doc, by, at, first, last, f, e, data
+    trim()
+    return out
 
 
 def _make_runs(groups: int, splitters: np.ndarray):
@@ -354,11 +377,13 @@ def _make_runs(groups: int, splitters: np.ndarray):
 
         g = Group(t, groups, splitters)
         out = []
-        cuts = np.flatnonzero(np.concatenate([[True], g.range[1:] != g.range[:-1]])) if len(g.range) else []
-        for s, e in zip(cuts, [*cuts[1:], len(g.range)][: len(cuts)], strict=True):
+        for s, e in _runs_of(g.range):
             out.append((int(g.range[s]), key[0].as_py(), encode_run(g.ctx[s:e], g.doc[s:e])))
         x = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"range": pa.array(x[0], pa.int32()), "g": pa.array(x[1], pa.int32()), "data": pa.array(x[2], pa.binary())})
+        del g
+        out = pa.table({"range": pa.array(x[0], pa.int64()), "g": pa.array(x[1], pa.int32()), "data": pa.array(x[2], pa.binary())})
+        trim()
+        return out
 
     return run
 
@@ -382,7 +407,8 @@ def _cut_texts(groups: int, splitters: np.ndarray, with_text: bool):
         delta = np.zeros(len(g.data) + 1, np.int32)
         np.add.at(delta, (g.at - e)[hit], 1)
         np.add.at(delta, (g.at - f + LENGTH)[hit], -1)
-        gone = np.cumsum(delta[:-1]) > 0
+        gone = np.cumsum(delta[:-1], dtype=np.int32, out=delta[:-1]) > 0
+        del delta, f, e, later, hit
         out, seen = [], set()
         for i, doc in enumerate(g.ids):
             a, b = g.offs[i], g.offs[i + 1]
@@ -398,7 +424,11 @@ def _cut_texts(groups: int, splitters: np.ndarray, with_text: bool):
                 seen.add(own)
         x = list(zip(*out, strict=True)) or [()] * 8
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
-        return pa.table({n: pa.array(v, k) for n, v, k in zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "digest", "again"], x, types, strict=True)})
+        del g, gone, out
+        out = pa.table({n: pa.array(v, k) for n, v, k in zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "digest", "again"], x, types, strict=True)})
+        del x
+        trim()
+        return out
 
     return run
 
@@ -410,15 +440,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     and again, true for a row whose id and text an earlier row has.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"), F.octet_length(text).cast("long").alias("bytes"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    h1 = F.xxhash64(F.lit(1), text)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"), F.octet_length(text).cast("long").alias("bytes"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     keyed = cut(keyed)
-    total = keyed.agg(F.sum("bytes")).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    group = F.pmod(F.xxhash64(F.floor(F.col("doc_id") / ID_BLOCK)), F.lit(groups)).cast("int")
+    dealt = Groups(keyed.select("doc_id", "bytes"), GROUP_BYTES, ID_BLOCK)
+    groups = dealt.groups
     classes = keyed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = cut(keyed.join(classes, ["h1", "h2"]).where("doc_id > first").select("doc_id", "digest").distinct())
+    copies = dealt.deal(keyed.join(classes, ["h1", "h2"]).where("doc_id > first"), F.col("h1"))
+    copies = cut(copies.select("g", "doc_id", "digest").distinct())
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("data")).withColumn("g", F.coalesce(group, F.lit(0)))
+    texts = dealt.deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("data"), h1.alias("h1")), F.col("h1")).drop("h1")
     posted = texts.where("doc_id is not null").select("doc_id", "g", "data").mapInArrow(_post_anchors(groups), "bucket int, g int, data binary")
     shared = cut(posted.groupBy("bucket").applyInArrow(_shared_anchors, "g int, id long, data binary"))
     sample = [r.data for r in shared.where("g = -1").select("data").limit(8 * SAMPLED_GROUPS).collect()]
@@ -428,8 +459,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     release(docs.sparkSession)
     rows = texts.select("g", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "data")
     rows = rows.union(shared.where("g >= 0").select("g", F.lit(1), "id", "data"))
-    rows = rows.union(copies.select(group, F.lit(3), "doc_id", "digest"))
-    runs = rows.groupBy("g").applyInArrow(_make_runs(groups, splitters), "range int, g int, data binary")
+    rows = rows.union(copies.select("g", F.lit(3), "doc_id", "digest"))
+    runs = rows.groupBy("g").applyInArrow(_make_runs(groups, splitters), "range long, g int, data binary")
     answers = cut(runs.groupBy("range").applyInArrow(_merge_range, "g int, id long, data binary"))
     release(docs.sparkSession)
     rows = rows.union(answers.select("g", F.lit(2), "id", "data"))

@@ -85,7 +85,7 @@ def test_jaccard_large_blocks(spark, monkeypatch):
     """Blocks far beyond BLOCK and WIDE: chunks, anchors and pairs of chunks are all used."""
     from keyframe.llm import op1_ngram_jaccard as op
 
-    for name, value in (("BLOCK", 8), ("WIDE", 10)):
+    for name, value in (("BLOCK", 8), ("WIDE", 10), ("GROUP_BYTES", 4000), ("ID_BLOCK", 5), ("MAX_BROADCAST", 20)):
         monkeypatch.setattr(op, name, value)
     r = random.Random(2)
     base, passage = words(r, 120).split(), words(r, 40)
@@ -189,6 +189,20 @@ def test_suffixes(spark):
     check_suffixes(spark, [])
 
 
+def test_suffixes_without_repeats(spark, monkeypatch):
+    """Clean tables, and clean groups beside others."""
+    from keyframe.llm import op2_suffix_dedup as op
+
+    r = random.Random(61)
+    check_suffixes(spark, ["one short text"])
+    check_suffixes(spark, [None, "", None])
+    check_suffixes(spark, [words(r, 40) for _ in range(3)])
+    monkeypatch.setattr(op, "GROUP_BYTES", 400)
+    monkeypatch.setattr(op, "ID_BLOCK", 2)
+    check_suffixes(spark, [words(r, 40) for _ in range(20)] + [words(r, 20) + "x" * 60 for _ in range(3)])
+    check_suffixes(spark, [words(r, 40) for _ in range(9)] + ["z" * 90] * 9, ids=[7] * 5 + [None] * 4 + list(range(9)))
+
+
 def test_suffixes_many_groups(spark, monkeypatch):
     from keyframe.llm import op2_suffix_dedup as op
 
@@ -265,6 +279,18 @@ def test_language(spark):
     right = [got[i].lang_pred == d[1] for i, d in enumerate(data) if held(i)]
     assert sum(right) >= 0.95 * len(right)
     assert {r.lang_pred for r in identify(frame(spark, ["abc"], [None])).collect()} == {"und"}
+    odd = identify(frame(spark, [*texts[:40], "½ ² ① Ⅷ", "中", "x²"], [*langs[:40], *["en"] * 3])).collect()
+    assert [r.lang_pred == "und" for r in sorted(odd, key=lambda r: r.doc_id)[40:]] == [True, False, False]
+
+
+def test_language_of_few_documents(spark):
+    """A language of a few documents among many of another is learned too."""
+    from keyframe.llm import op5_language_id as op
+
+    r = random.Random(91)
+    texts = [words(r, 30, "abcdefg") for _ in range(300)] + [words(r, 30, "жщшыэю") for _ in range(12)]
+    got = {x.doc_id: x.lang_pred for x in op.identify(frame(spark, texts, ["en"] * 300 + ["ru"] * 12)).collect()}
+    assert all(got[i] == "ru" for i in range(300, 312)) and sum(got[i] == "en" for i in range(300)) >= 295
 
 
 def test_language_tables_equal_the_network():
@@ -347,7 +373,7 @@ def test_mixing(spark):
     got = op.mix(docs, share=1.3, epochs=3).collect()
     taken = {}
     for x in got:
-        taken.setdefault((x.domain, x.lang, x.source), []).append(x)
+        taken.setdefault((x.domain, x.lang, x.source or ""), []).append(x)
     tokens = {}
     for i, t in enumerate(texts):
         s = sources[i] or ""
@@ -428,6 +454,43 @@ def test_messages_equal_enumeration(tree_model):
     assert np.allclose(q, np.array(ones) / total)
 
 
+def test_extract_parsing():
+    """What is hidden, broken or cut off; by blocks, before the model decides."""
+    from keyframe.llm.op7_html_extract import nodes_of, parse
+
+    def blocks(page):
+        return [b.text for b in nodes_of(parse(page)) if b.tag == "#"]
+
+    assert blocks("<script>for(i=0;i<n;i++){} // don't</script><p>It's the 'quoted' one.</p>") == ["It's the 'quoted' one."]
+    assert blocks("<script>var s='<!-- ';</script><p>A</p><p>B</p>") == ["A", "B"]
+    assert blocks("<p>First.</p><button>Share<p>Second.</p>") == ["First.", "Second."]
+    assert blocks("<p>First.</p><button>Share</button><p>Second.</p>") == ["First.", "Second."]
+    assert blocks("<p>a<svg/>b</p><p>c<svg><text>no</text><svg>no</svg></svg>d</p>") == ["a b", "c d"]
+    assert blocks("<p>x <math><mi>y</mi></math> z</p><object><p>kept</p></object>") == ["x y z", "kept"]
+    assert blocks('<div class="x>bad</div><p>good</p>') == ["bad", "good"]
+    assert blocks('<p title="a > b" data-x=\'>\'>text</p>') == ["text"]
+    assert blocks("<p title=don't>text, don't</p>") == ["text, don't"]
+    assert blocks("<select><option>1<option>2</select><p>text</p>") == ["text"]
+    assert blocks("<head><title>T</title><p>a</p>") == ["a"]
+    assert blocks("<p>a</p><div cla") == ["a"] and blocks("<p>a &lt; b &#38; c</p>") == ["a < b & c"]
+
+
+#: Pages in layouts that the training generator does not make, and their main texts.
+LAYOUTS = [
+    ("""<body><div id="wrapper"><div class="topbar"><a href=/>Home</a> | <a href=/x>News</a> | <a href=/y>Sport</a></div><div class="post-body"><h2>River levels rise after a week of rain</h2><p>Water rose by two metres overnight, the council said on Monday.</p><p>Roads along the bank were closed, and residents were asked to move their cars.</p></div><div class="related-links"><h4>More</h4><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></div></div></body>""",
+     "River levels rise after a week of rain\nWater rose by two metres overnight, the council said on Monday.\nRoads along the bank were closed, and residents were asked to move their cars."),
+    ("""<html><body><header class="site-header"><h1>The Daily</h1><nav><a href="/">Home</a><a href="/w">World</a></nav></header><main><article class="entry"><h1>On keeping bees in small gardens</h1><p>Bees need water, shade and a clear line of flight, which is why a corner of the garden suits them.</p><blockquote><p>Start with one hive, and learn from it for a year.</p></blockquote><p>Neighbours should hear of it first.</p></article><section id="comments"><h3>3 comments</h3><div class="comment"><p>Great article, thanks for sharing it.</p></div></section></main><footer><p>&copy; 2024 The Daily. All rights reserved.</p></footer></body></html>""",
+     "On keeping bees in small gardens\nBees need water, shade and a clear line of flight, which is why a corner of the garden suits them.\nStart with one hive, and learn from it for a year.\nNeighbours should hear of it first."),
+]
+
+
+@pytest.mark.parametrize("page,text", LAYOUTS)
+def test_extract_other_layouts(tree_model, page, text):
+    from keyframe.llm.op7_html_extract import extract
+
+    assert extract(page, *tree_model) == text
+
+
 def test_extract_query(spark):
     from keyframe.llm.op7_html_extract import main_text
 
@@ -449,7 +512,6 @@ def test_token_ids_equal_the_library():
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     r = random.Random(14)
     parts = ["a", "b", "s", "t", "re", "ve", "ll", "d", "m", "'", "''", " ", "  ", "\n", "\t", "1", "½", "é", "ß", "中", "!", "_", "don't", "I'll", "　", "\x1c", "²", "😀", "<|endoftext|>", "É", " "]
     texts = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(1500)] + ["", " ", "'", "'s", " 's"]
@@ -483,7 +545,6 @@ def test_packing(spark):
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     r = random.Random(16)
     texts = [None, "", "a", *[words(r, r.randint(1, 200)) for _ in range(40)]]
     got = pack(frame(spark, texts), path, 64).collect()
