@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dataset import FrameDataset
+from .dataset import FrameDataset, StoredKey
 from .functions import render
+from .functions.keys import parse_key
 from .operators import maintain, mutate, organize, pages, read, strings
 from .plans.ordering import INDEX, merged_ranges, with_index
 from .plans.selectors import Selector, bounds
@@ -38,13 +39,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(column: str) -> Column:
-    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
-    return F.unix_micros(F.to_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone()))
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone: no step passes through one."""
+    t = f"CAST({column} AS TIMESTAMP_NTZ)"
+    seconds = f"(unix_date(CAST({t} AS DATE)) * 86400L + hour({t}) * 3600 + minute({t}) * 60)"
+    return F.expr(f"{seconds} * 1000000L + CAST(extract(SECOND FROM {t}) * 1000000 AS BIGINT)")
+
+
+def timestamp_literal(value: int) -> Column:
+    """The timestamp without zone that micros turns into value, or the nearest that there is."""
+    try:
+        t = datetime(1970, 1, 1) + timedelta(microseconds=value)
+    except OverflowError:
+        t = datetime.max if value > 0 else datetime.min
+    return F.expr(f"TIMESTAMP_NTZ'{t.isoformat(sep=' ', timespec='microseconds')}'")
 
 
 def events(spark: SparkSession, sf_dir: str) -> FrameDataset:
     df = load(spark, sf_dir, "events").select(micros("ts").alias("k"), "event_id", "user_id", "event_type")
-    return FrameDataset(df, EVENT, "events")
+    return FrameDataset(df, EVENT, "events", stored=StoredKey("ts", timestamp_literal))
 
 
 def cents(column: str) -> Column:
@@ -55,7 +67,7 @@ def lineitem(spark: SparkSession, sf_dir: str) -> FrameDataset:
     df = load(spark, sf_dir, "lineitem").select(
         micros("l_shipdate").alias("k"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("l_quantity").cast("long").alias("qty"), cents("l_extendedprice").alias("cents"), cents("l_discount").alias("disc"), cents("l_tax").alias("tax"), "l_returnflag", "l_linestatus",
     )
-    return FrameDataset(df, LINE, "lineitem", ties=tuple(LINE.names[1:]))
+    return FrameDataset(df, LINE, "lineitem", ties=tuple(LINE.names[1:]), stored=StoredKey("l_shipdate", timestamp_literal))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> FrameDataset:
@@ -105,7 +117,7 @@ def simple(name: str, source, build, sql: str) -> None:
 # ---- scans and positions
 
 query("flagship", f"SELECT frame_index, k, user_id, event_type FROM (SELECT {E_COLS} FROM {E_SQL}) WHERE k BETWEEN {E_LOW} AND {E_HIGH}")(
-    lambda s, d: e_out(read.select(events(s, d).numbered(), [f"{E_LOW}..{E_HIGH}"])).select("frame_index", "k", "user_id", "event_type")
+    lambda s, d: e_out(read.select_numbered(events(s, d), [f"{E_LOW}..{E_HIGH}"])).select("frame_index", "k", "user_id", "event_type")
 )
 simple("scan_all", events, lambda x: e_out(x.numbered().df), f"SELECT {E_COLS} FROM {E_SQL}")
 simple("scan_lineitem", lineitem, lambda x: numbered(x.numbered().df, *LINE.names), f"SELECT idx AS frame_index, {L_NAMES} FROM {L_SQL}")
@@ -340,8 +352,17 @@ simple("repair_prefix", events, lambda x: e_out(maintain.repair(_broken(x)).df),
 
 # ---- types, catalogue
 
-simple("key_cast", orders, lambda x: x.df.select("o_orderkey", F.col("o_orderkey").cast("string").alias("shown"), F.col("o_orderkey").cast("string").cast("long").alias("parsed")), "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS shown, o_orderkey AS parsed FROM orders")
-simple("unsigned_widen", orders, lambda x: x.df.select("o_orderkey", (F.col("o_orderkey") % 256).cast("smallint").alias("u8"), (F.col("o_orderkey") % 65536).cast("int").alias("u16"), F.col("o_custkey").cast("decimal(20,0)").alias("u64")), "SELECT o_orderkey, CAST(o_orderkey % 256 AS SMALLINT) AS u8, CAST(o_orderkey % 65536 AS INTEGER) AS u16, CAST(o_custkey AS DECIMAL(20,0)) AS u64 FROM orders")
+_KEYS = Schema.parse("Keys", "o_orderkey:i:8,cents:f:16,u8:u:1,u16:u:2,u64:u:8", 0)
+
+
+def _parsed(x: FrameDataset) -> DataFrame:
+    """Order keys shown, parsed again on the driver by the key field's rule, and found by what was parsed."""
+    shown = [str(k) for k in O_KEYS]
+    return read.frames_by_keys(x, [parse_key(ORDER.key, t) for t in shown]).select("o_orderkey", render.display(ORDER.key, F.col("o_orderkey")).alias("shown"))
+
+
+simple("key_parse", orders, _parsed, f"SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS shown FROM orders WHERE o_orderkey IN ({', '.join(map(str, O_KEYS))})")
+simple("unsigned_widen", orders, lambda x: x.df.select("o_orderkey", *[v.cast(_KEYS.spark_schema()[n].dataType).alias(n) for n, v in (("u8", F.col("o_orderkey") % 256), ("u16", F.col("o_orderkey") % 65536), ("u64", F.col("o_custkey")))]), "SELECT o_orderkey, CAST(o_orderkey % 256 AS SMALLINT) AS u8, CAST(o_orderkey % 65536 AS INTEGER) AS u16, CAST(o_custkey AS DECIMAL(20,0)) AS u64 FROM orders")
 
 
 def _ls_sql(name: str, s: Schema, table: str, key: str) -> str:
@@ -353,17 +374,28 @@ query("ls_row", " UNION ALL ".join([_ls_sql("events", EVENT, E_SQL, "k"), _ls_sq
 )
 
 
-@query("richest_schema")
+_PLAIN = Schema.parse("Event", "k:i:8,event_id:i:8,user_id:i:8,event_type:sidx:1", 0)
+
+
+@query("richest_schema", " UNION ALL ".join(f"SELECT '{f.name}' AS field, '{f.semantic}' AS semantic" for f in EVENT.fields))
 def _richest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = Schema.parse("Event", "k:i:8,event_id:i:8,user_id:i:8,event_type:sidx:1", 0)
-    best = richest([plain, EVENT])
-    return reduce(DataFrame.unionByName, [spark.range(1).select(F.lit(f.name).alias("field"), F.lit(str(f.semantic)).alias("semantic")) for f in best.fields])
+    return spark.createDataFrame([(f.name, str(f.semantic)) for f in richest([_PLAIN, EVENT]).fields], "field string, semantic string")
+
 
+def _facts_sql() -> str:
+    facts = [("dataset", "title", "'events'"), ("dataset", "frame_type", "'Event'"), ("dataset", "frame_count", "(SELECT CAST(count(*) AS VARCHAR) FROM events)"), ("dataset", "frame_length", f"'{EVENT.frame_length}'"), ("dataset", "data_bytes", f"(SELECT CAST(count(*) * {EVENT.frame_length} AS VARCHAR) FROM events)")]
+    facts += [("key", "field", "'k'"), ("key", "index", "'0'"), ("key", "float_order", "'False'"), ("strings", "count", "'0'"), ("strings", "values", "'[]'")]
+    facts += [("fields", f.name, f"'{f.family.name.lower()}:{f.length}:{f.semantic}'") for f in EVENT.fields]
+    return " UNION ALL ".join(f"SELECT '{a}' AS section, '{b}' AS fact, {c} AS value" for a, b, c in facts)
 
-@query("inspect")
+
+@query("inspect", _facts_sql())
 def _inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = maintain.inspect(events(spark, sf_dir))
-    return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "section string, facts string")
+    return spark.createDataFrame([(s, k, str(v)) for s, facts in found.items() for k, v in facts.items()], "section string, fact string, value string")
+
+
+from . import catalog_files  # noqa: E402, F401  registers the queries over files, stores and streams
 
 
 def queries() -> dict[str, Query]:

@@ -84,13 +84,20 @@ def order_column(field: Field, column: Column | None = None) -> Column:
     return F.struct(c.cast("double").alias("value"), (c.cast("string") != "-0.0").alias("above"))
 
 
+def key_of_order(field: Field, ordered):
+    """The key that has an order value."""
+    if field.family != Family.FLOAT or field.is_decimal:
+        return ordered
+    bits = ordered if ordered >= 0 else ordered ^ ((1 << (8 * field.length - 1)) - 1)
+    return struct.unpack("<f" if field.length == 4 else "<d", struct.pack("<i" if field.length == 4 else "<q", bits))[0]
+
+
 def order_lit(field: Field, ordered) -> Column:
     """A literal that order_column compares with, from a value of order_value."""
     if field.family != Family.FLOAT or field.is_decimal:
         return F.lit(ordered)
-    bits = ordered if ordered >= 0 else ordered ^ ((1 << (8 * field.length - 1)) - 1)
-    value = struct.unpack("<f" if field.length == 4 else "<d", struct.pack("<i" if field.length == 4 else "<q", bits))[0]
-    return F.struct(F.lit(value).cast("double").alias("value"), F.lit(bits >= 0 or value != 0).alias("above"))
+    value = key_of_order(field, ordered)
+    return F.struct(F.lit(value).cast("double").alias("value"), F.lit(ordered >= 0 or value != 0).alias("above"))
 
 
 def order_value(field: Field, value):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import FrameDataset
-from ..plans.ordering import INDEX, violations
+from ..plans.ordering import INDEX, violations, with_previous
 from ..types import Family
 
 
@@ -19,16 +19,15 @@ def order_violations(d: FrameDataset, index: str = INDEX) -> DataFrame:
 
 def contiguity_violations(zones: DataFrame, page: str = "page_id") -> DataFrame:
     """Pages that do not start where the one before ends."""
-    w = Window.orderBy(page)
-    expected = F.coalesce(F.lag("first_frame_index").over(w) + F.lag("frame_count").over(w), F.lit(0))
-    return zones.withColumn("expected", expected).where(F.col("first_frame_index") != F.col("expected"))
+    t = with_previous(zones, page, F.col("first_frame_index") + F.col("frame_count"), "expected")
+    return t.withColumn("expected", F.coalesce("expected", F.lit(0))).where(F.col("first_frame_index") != F.col("expected"))
 
 
 def repair_cut(d: FrameDataset, index: str = INDEX) -> DataFrame:
     """(valid_frames): the length of the longest prefix in order."""
-    below = d.key < F.lag(d.key).over(Window.orderBy(index))
-    t = d.df.withColumn("_bad", below)
-    return t.agg(F.coalesce(F.min(F.when(F.col("_bad"), F.col(index))), F.count("*")).cast("long").alias("valid_frames"))
+    first = order_violations(d, index).agg(F.min(index).alias("bad"), F.lit(None).cast("long").alias("n"))
+    both = first.unionByName(d.df.agg(F.lit(None).cast("long").alias("bad"), F.count("*").alias("n")))
+    return both.agg(F.coalesce(F.min("bad"), F.max("n")).cast("long").alias("valid_frames"))
 
 
 def repair(d: FrameDataset, index: str = INDEX) -> FrameDataset:

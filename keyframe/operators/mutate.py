@@ -2,43 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import FrameDataset
 from ..errors import KeyOrderError, RangeError
-from ..functions.keys import order_lit, order_value
-from ..plans.ordering import INDEX, violations
-from ..plans.selectors import Selector, predicate
+from ..functions.keys import order_value
+from ..plans.ordering import INDEX, violations, with_index
+from ..plans.selectors import parse_all
 from ..types import Schema
-from .read import SMALL_LIST, key_in
+from .read import SMALL_LIST, interval_of, key_in, selection
 
 Removed = tuple[FrameDataset, int]
 
 
-def _kept(d: FrameDataset, df: DataFrame, before: int | None = None) -> Removed:
-    before = d.df.count() if before is None else before
-    out = d.of(df)
-    return out, before - out.df.count()
+def _without(d: FrameDataset, gone: Column) -> Removed:
+    """By a filter on keys; one count of what it takes."""
+    return d.of(d.df.where(~gone)), d.df.where(gone).count()
 
 
-def _by_index(d: FrameDataset, gone: Column) -> DataFrame:
-    return d.numbered().df.where(~gone)
+def _at(d: FrameDataset, start: int, end: int, n: int, keep: Callable[[DataFrame], DataFrame]) -> FrameDataset:
+    """What keep leaves of the frames, which may take some at positions start..end only: the others are neither sorted nor numbered."""
+    if INDEX in d.df.columns:
+        return d.of(keep(d.df))
+    if start >= end:
+        return d.of(d.df)
+    low, high, before, size = interval_of(d, start, end, n)
+    inside = [F.lit(True)] if low is None else [d.test(lambda k, lit: k >= lit(low))]
+    inside = reduce(Column.__and__, inside + ([] if high is None else [d.test(lambda k, lit: k < lit(high))]))
+    found = with_index(d.df.where(inside), d.order, size).withColumn(INDEX, F.col(INDEX) + before)
+    kept = keep(found).select(d.df.columns)
+    return d.of(kept if size == n else d.df.where(~inside).unionByName(kept))
 
 
 def delete_frame(d: FrameDataset, index: int) -> tuple[FrameDataset, bool]:
     """False if there is no such position."""
-    out, n = _kept(d, _by_index(d, F.col(INDEX) == index))
-    return out, n == 1
+    n = d.df.count()
+    if not 0 <= index < n:
+        return d.of(d.df), False
+    return _at(d, index, index + 1, n, lambda t: t.where(F.col(INDEX) != index)), True
 
 
 def delete_slice(d: FrameDataset, start: int, end: int) -> Removed:
     n = d.df.count()
     if not 0 <= start <= end <= n:
         raise RangeError(f"frames {start}..{end} of {n}")
-    return _kept(d, _by_index(d, (F.col(INDEX) >= start) & (F.col(INDEX) < end)), n)
+    return _at(d, start, end, n, lambda t: t.where(~((F.col(INDEX) >= start) & (F.col(INDEX) < end)))), end - start
 
 
 def delete_indices(d: FrameDataset, indices: list[int]) -> Removed:
@@ -46,10 +59,11 @@ def delete_indices(d: FrameDataset, indices: list[int]) -> Removed:
     n = d.df.count()
     if any(b <= a for a, b in zip(indices, indices[1:], strict=False)) or any(not 0 <= i < n for i in indices):
         raise RangeError("indices must ascend and lie inside the set")
-    if len(indices) <= SMALL_LIST:
-        return _kept(d, _by_index(d, F.col(INDEX).isin(indices) if indices else F.lit(False)), n)
-    listed = d.df.sparkSession.createDataFrame([(i,) for i in indices], f"{INDEX} long")
-    return _kept(d, d.numbered().df.join(listed, INDEX, "left_anti"), n)
+    if not indices:
+        return d.of(d.df), 0
+    listed = d.df.sparkSession.createDataFrame([(i,) for i in indices], f"{INDEX} long") if len(indices) > SMALL_LIST else None
+    keep = (lambda t: t.where(~F.col(INDEX).isin(indices))) if listed is None else (lambda t: t.join(listed, INDEX, "left_anti"))
+    return _at(d, indices[0], indices[-1] + 1, n, keep), len(indices)
 
 
 def delete_ranges(d: FrameDataset, ranges: list[tuple[int, int]]) -> Removed:
@@ -59,45 +73,45 @@ def delete_ranges(d: FrameDataset, ranges: list[tuple[int, int]]) -> Removed:
         if not last <= s <= e <= n:
             raise RangeError(f"range {s}..{e} overlaps or lies outside {n} frames")
         last = e
-    i, gone = F.col(INDEX), F.lit(False)
-    for s, e in ranges:
-        gone = gone | ((i >= s) & (i < e))
-    return _kept(d, _by_index(d, gone), n)
+    ranges = [(s, e) for s, e in ranges if s < e]
+    if not ranges:
+        return d.of(d.df), 0
+    gone = reduce(Column.__or__, [(F.col(INDEX) >= s) & (F.col(INDEX) < e) for s, e in ranges])
+    return _at(d, ranges[0][0], ranges[-1][1], n, lambda t: t.where(~gone)), sum(e - s for s, e in ranges)
 
 
 def delete_key(d: FrameDataset, value) -> Removed:
-    return _kept(d, d.df.where(d.key != order_lit(d.schema.key, order_value(d.schema.key, value))))
+    return _without(d, d.test(lambda k, lit: k == lit(order_value(d.schema.key, value))))
 
 
 def delete_keys(d: FrameDataset, keys: list) -> Removed:
     """Keys of a sorted list; repeats count once."""
-    return _kept(d, key_in(d, keys, "left_anti"))
+    return d.of(key_in(d, keys, "left_anti")), key_in(d, keys, "left_semi").count()
 
 
 def delete_key_range(d: FrameDataset, low, high) -> Removed:
     """Both ends included; a reversed range removes nothing."""
     a, b = order_value(d.schema.key, low), order_value(d.schema.key, high)
-    return _kept(d, d.df.where(~d.key.between(order_lit(d.schema.key, a), order_lit(d.schema.key, b))) if a <= b else d.df)
+    return _without(d, d.test(lambda k, lit: k.between(lit(a), lit(b))) if a <= b else F.lit(False))
 
 
 def delete_before(d: FrameDataset, high) -> Removed:
-    return _kept(d, d.df.where(d.key > order_lit(d.schema.key, order_value(d.schema.key, high))))
+    return _without(d, d.test(lambda k, lit: k <= lit(order_value(d.schema.key, high))))
 
 
 def delete_after(d: FrameDataset, low) -> Removed:
-    return _kept(d, d.df.where(d.key < order_lit(d.schema.key, order_value(d.schema.key, low))))
+    return _without(d, d.test(lambda k, lit: k >= lit(order_value(d.schema.key, low))))
 
 
 def delete_all(d: FrameDataset) -> Removed:
-    return _kept(d, d.df.limit(0))
+    return d.of(d.df.limit(0)), d.df.count()
 
 
 def remove(d: FrameDataset, selectors: list[str], confirm: bool = False) -> Removed:
     """The union of selectors; without any, everything, which needs confirm."""
     if not selectors and not confirm:
         raise RangeError("removing everything needs confirm=True")
-    f = d.schema.key
-    return _kept(d, d.df.where(~predicate(f, [Selector.parse(f, s) for s in selectors])))
+    return _without(d, selection(d, parse_all(d.schema.key, selectors)))
 
 
 # ---------------------------------------------------------------------------- appends

@@ -83,9 +83,9 @@ def concat(sources: list[FrameDataset], strict: bool = True) -> FrameDataset:
         if r.disordered:
             raise KeyOrderError(r.first_key, last, f"source {r.source}")
         last = r.last_key if r.last_key is not None else last
-    out = None
+    out, ties = None, (SOURCE, *(t for t in first.of(first.df).ties if t != SOURCE))
     for i, d in enumerate(sources):
-        x = d.frames().withColumn(SOURCE, F.lit(i))
-        out = x if out is None else out.unionByName(x)
-    ties = first.ties if SOURCE in first.ties else (SOURCE, *first.ties)
+        x = d.of(d.df)
+        x = x.df.select(*[f"`{n}`" for n in dict.fromkeys([*d.schema.names, *(t for t in x.ties if t != SOURCE)])]).withColumn(SOURCE, F.lit(i))
+        out = x if out is None else out.unionByName(x, allowMissingColumns=True)
     return replace(first, df=out, schema=richest([d.schema for d in sources]), strings=strings, ties=ties)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import FrameDataset
-from ..plans.ordering import INDEX
+from ..plans.ordering import INDEX, with_previous, with_sum_before
 
 PAGE = "page_id"
 
@@ -31,9 +31,9 @@ def page_stats(zones: DataFrame) -> DataFrame:
 
 def page_runs(zones: DataFrame, label: str = "label") -> DataFrame:
     """Maximal runs of consecutive pages of one label."""
-    w = Window.orderBy(PAGE)
-    t = zones.withColumn("_new", F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.lag(PAGE).over(w).isNotNull()), 0).otherwise(1))
-    t = t.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = with_previous(zones, PAGE, F.struct(F.col(label).alias("label")), "_preceding")
+    t = t.withColumn("_new", F.when(F.col("_preceding").isNotNull() & F.col(label).eqNullSafe(F.col("_preceding.label")), 0).otherwise(1))
+    t = with_sum_before(t, PAGE, F.col("_new"), "_sum").withColumn("run", F.col("_sum") + F.col("_new"))
     return t.groupBy("run").agg(
         F.max(label).alias("label"), F.min(PAGE).alias("first_page"), F.max(PAGE).alias("last_page"), F.sum("frame_count").alias("frame_count"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key")
     )
@@ -52,9 +52,8 @@ def page_for_key(zones: DataFrame, key) -> DataFrame:
 
 
 def prefix_sums(zones: DataFrame) -> DataFrame:
-    """first_frame_index of each page as the sum of frames before it; one row per page is sorted."""
-    w = Window.orderBy(PAGE).rowsBetween(Window.unboundedPreceding, -1)
-    return zones.select(PAGE, "frame_count", F.coalesce(F.sum("frame_count").over(w), F.lit(0)).cast("long").alias("first_frame_index"))
+    """first_frame_index of each page as the sum of frames before it."""
+    return with_sum_before(zones.select(PAGE, "frame_count"), PAGE, F.col("frame_count"), "first_frame_index")
 
 
 def delta_encode(d: FrameDataset, rows: int, column: str, bits: int = 64) -> DataFrame:

@@ -58,15 +58,20 @@ def intervals(field: Field, selectors: list[Selector]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def predicate(field: Field, selectors: list[Selector], column: Column | None = None) -> Column:
-    """A filter on the key column: one BETWEEN for each disjoint interval, so it reaches the scan. No selector: all."""
-    c = order_column(field, column)
+def predicate(field: Field, selectors: list[Selector], column: Column | None = None, lit=None) -> Column:
+    """A filter on the key column: one BETWEEN for each disjoint interval, so it reaches the scan. No selector: all.
+
+    lit gives the literal that column is compared with, from a key's order value."""
+    c = order_column(field, column) if lit is None else column
+    lit = lit or (lambda v: order_lit(field, v))
     if not selectors:
         return F.lit(True)
     tests = []
     for low, high in intervals(field, selectors):
-        test = F.lit(True) if low is None and high is None else c <= order_lit(field, high) if low is None else c >= order_lit(field, low) if high is None else (c == order_lit(field, low)) if low == high else c.between(order_lit(field, low), order_lit(field, high))
-        tests.append(test)
+        if low is None or high is None:
+            tests.append(F.lit(True) if low is high else c <= lit(high) if low is None else c >= lit(low))
+        else:
+            tests.append(c == lit(low) if low == high else c.between(lit(low), lit(high)))
     return reduce(Column.__or__, tests) if tests else F.lit(False)
 
 

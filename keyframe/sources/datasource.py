@@ -4,7 +4,7 @@ Read options: path (a file or folder), key_index (version 1), columns (comma-sep
 Python source cannot be told by Catalyst), low and high (key bounds that skip version-2
 pages by their zone maps), strings=decode|code.  Rows carry _frame_index.
 Write options: path, version, title, schema (JSON of Schema.to_dict), strings (JSON), page_size,
-codec, encoding.  Each task writes one file; a folder is published by its commit.
+codec and encoding (or smallest, by page), level (zstd), packing (tight or estimate).  Each task writes one file; a folder is published by its commit.
 """
 
 from __future__ import annotations
@@ -22,28 +22,45 @@ from ..types import Family, Schema
 from . import layouts as L
 from .frames import ENCODINGS, decode_columns, encode_columns, record_type
 
-SUFFIX, TASK_BYTES = ".frames", 32 << 20
+SUFFIX, TASK_BYTES = ".frames", 32 << 20  # the suffix of files that are written
 
 
 def open_fs(path: str):
     """(file system, path) of pyarrow, for local and remote paths."""
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def discover(path: str, suffix: str = SUFFIX) -> list[str]:
-    """The file itself, or a folder's files with the suffix in any case, without repeats, in case-insensitive order."""
+def discover(path: str | list[str], suffix: str = "") -> list[str]:
+    """Files of inputs, each a file or a folder, without repeats, in case-insensitive order.
+
+    Of a folder, those with the suffix in any case; without a suffix, those that begin
+    with either layout's magic bytes, whatever their names.
+    """
     from pyarrow import fs
 
-    f, p = open_fs(path)
-    info = f.get_file_info(p)
-    if info.type == fs.FileType.File:
-        return [path]
-    if info.type != fs.FileType.Directory:
-        raise FormatError(f"no such file: {path}")
-    found = [x.path for x in f.get_file_info(fs.FileSelector(p)) if x.type == fs.FileType.File and x.path.lower().endswith(suffix)]
-    return sorted(set(found), key=str.lower)
+    found = {}
+    for one in [path] if isinstance(path, str) else path:
+        f, p = open_fs(one)
+        info = f.get_file_info(p)
+        if info.type == fs.FileType.File:
+            found[p] = one
+            continue
+        if info.type != fs.FileType.Directory:
+            raise FormatError(f"no such file: {one}")
+        root = one[: len(one) - len(p)] if "://" in one and one.endswith(p) else ""
+        for x in f.get_file_info(fs.FileSelector(p)):
+            if x.type != fs.FileType.File or x.path.endswith(".tmp") or not x.path.lower().endswith(suffix.lower()):
+                continue
+            if not suffix:
+                with f.open_input_file(x.path) as h:
+                    if h.read(4) not in (L.MAGIC_1, L.MAGIC_2):
+                        continue
+            found[x.path] = root + x.path
+    return sorted(found.values(), key=str.lower)
 
 
 def read_bytes(path: str, start: int, size: int) -> bytes:
@@ -106,7 +123,7 @@ class Span(InputPartition):
 class FrameReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
-        self.files = [open_file(p, int(options.get("key_index", 0))) for p in discover(options["path"], options.get("suffix", SUFFIX))]
+        self.files = [open_file(p, int(options.get("key_index", 0))) for p in discover(options["path"].split("\n"), options.get("suffix", ""))]
         if not self.files:
             raise FormatError("no files")
         if any(not f.schema.compatible(self.files[0].schema) for f in self.files):
@@ -182,12 +199,15 @@ class FrameWriter(DataSourceArrowWriter):
         chunks = [encode_columns(s, {n: b.column(n).to_pylist() for n in s.names}, strings) for b in iterator]
         frames = np.concatenate(chunks) if chunks else np.zeros(0, record_type(s))
         context = TaskContext.get()
-        path = f"{self.options['path'].rstrip('/')}/part-{context.partitionId():05d}-{context.taskAttemptId()}{SUFFIX}"
+        # files are read in the order of their names, so those of a later append have a larger first number
+        path = f"{self.options['path'].rstrip('/')}/part-{int(self.options.get('generation', 0)):06d}-{context.partitionId():05d}-{context.taskAttemptId()}{SUFFIX}"
         title = self.options.get("title", "untitled")
         if int(self.options.get("version", 2)) == 1:
             raw = L.write_file_1(s, title, strings, frames)
         else:
-            raw = L.write_file_2(s, title, strings, frames, int(self.options.get("page_size", L.DEFAULT_PAGE)), self.options.get("codec", "zstd"), ENCODINGS[self.options.get("encoding", "columnar-basic")])
+            encoding = self.options.get("encoding", "columnar-basic")
+            encoding = encoding if encoding == "smallest" else ENCODINGS[encoding]
+            raw = L.write_file_2(s, title, strings, frames, int(self.options.get("page_size", L.DEFAULT_PAGE)), self.options.get("codec", "zstd"), encoding, int(self.options.get("level", L.DEFAULT_LEVEL)), self.options.get("packing", "tight"))
         f, p = open_fs(path)
         f.create_dir(p.rpartition("/")[0], recursive=True)
         with f.open_output_stream(p + ".tmp") as h:
@@ -196,13 +216,15 @@ class FrameWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         kept = {m.path for m in messages if m is not None}
-        f, folder = open_fs(self.options["path"])
+        f, _ = open_fs(self.options["path"])
+        before = []
         if self.overwrite:
-            for old in discover(self.options["path"]):
-                f.delete_file(open_fs(old)[1])
+            before = [open_fs(old)[1] for old in discover(self.options["path"])]
         for path in sorted(kept):
             p = open_fs(path)[1]
             f.move(p + ".tmp", p)
+        for old in before:  # only when the new files are there
+            f.delete_file(old)
 
     def abort(self, messages) -> None:
         for m in messages:
@@ -217,7 +239,7 @@ class FrameSource(DataSource):
         return "frames"
 
     def schema(self) -> T.StructType:
-        files = discover(self.options["path"], self.options.get("suffix", SUFFIX))
+        files = discover(self.options["path"].split("\n"), self.options.get("suffix", ""))
         if not files:
             raise FormatError("no files")
         return source_schema(open_file(files[0], int(self.options.get("key_index", 0))).schema, dict(self.options))
@@ -233,16 +255,16 @@ def register(spark) -> None:
     spark.dataSource.register(FrameSource)
 
 
-def load(spark, path: str, **options: str):
-    """A FrameDataset over a file or folder of either layout."""
+def load(spark, path: str | list[str], **options: str):
+    """A FrameDataset over files or folders of either layout."""
     from ..dataset import FrameDataset
 
     register(spark)
-    reader = spark.read.format("frames").option("path", path)
+    reader = spark.read.format("frames").option("path", path if isinstance(path, str) else "\n".join(path))
     for k, v in options.items():
         reader = reader.option(k, str(v))
-    first = open_file(discover(path, options.get("suffix", SUFFIX))[0], int(options.get("key_index", 0)))
-    return FrameDataset(reader.load(), first.schema, first.title, first.strings, ("_frame_index",))
+    first = open_file(discover(path, options.get("suffix", ""))[0], int(options.get("key_index", 0)))
+    return FrameDataset(reader.load(), first.schema, first.title, first.strings, ("_frame_index",), projected="columns" in options)
 
 
 def save(d, path: str, version: int = 2, files: int = 1, **options: str) -> None:
@@ -256,6 +278,33 @@ def save(d, path: str, version: int = 2, files: int = 1, **options: str) -> None
     w.save()
 
 
+def append(spark, path: str, d, **options: str) -> int:
+    """Add a dataset's frames behind those of a folder, as files of their own; how many.
+
+    Schemas and string tables must be equal and no key may be below the last one stored.
+    """
+    from pyspark.sql import functions as F
+
+    from ..errors import IncompatibleError, KeyOrderError, StringTableError
+    from ..functions.keys import order_value
+
+    target = load(spark, path)
+    if not target.schema.compatible(d.schema):
+        raise IncompatibleError("schemas differ")
+    if target.strings != d.strings:
+        raise StringTableError("string tables differ")
+    name = F.col(f"`{d.schema.key.name}`")
+    last = target.df.agg(F.max_by(name, target.key)).first()[0]
+    n, first = d.df.agg(F.count("*"), F.min_by(name, d.key)).first()
+    if n and last is not None and order_value(d.schema.key, first) < order_value(d.schema.key, last):
+        raise KeyOrderError(first, last, "append")
+    opened = [open_file(p) for p in discover(path)]
+    if n:
+        own = {"page_size": opened[-1].page_size} if opened[-1].version == 2 else {}
+        save(d, path, opened[-1].version, generation=len(opened), **(own | options))
+    return n
+
+
 def verify_file(path: str, key_index: int = 0) -> int:
     """Read everything: header, length, checksums, contiguous pages, key order, total; the number of frames."""
     o = open_file(path, key_index)

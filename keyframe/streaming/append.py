@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import KeyOrderError
+from ..functions.keys import order_column, order_lit, order_value
 from ..sources.store import Store
 
 
@@ -19,17 +20,17 @@ def ordered_append(store: Store, order: list[str], late: str = "fail"):
     def run(batch: DataFrame, number: int) -> None:
         if number <= store.last_batch():
             return
-        mark = store.high_water()
-        key = store.dataset(batch.sparkSession).schema.key.name if store.exists() else order[0]
+        d, mark = store.dataset(batch.sparkSession), store.high_water()
         if mark is not None:
-            low = batch.where(F.col(key) < F.lit(mark))
+            f = d.schema.key
+            below = order_column(f) < order_lit(f, order_value(f, mark))
             if late == "fail":
-                worst = low.agg(F.min(key)).first()[0]
+                worst = batch.where(below).agg(F.min_by(F.col(f"`{f.name}`"), order_column(f))).first()[0]
                 if worst is not None:
                     raise KeyOrderError(worst, mark, f"batch {number}")
             else:
-                store.append_dead(low, number)
-                batch = batch.where(F.col(key) >= F.lit(mark))
+                store.append_dead(batch.where(below), number)
+                batch = batch.where(~below)
         store.append(batch, order, number)
 
     return run
@@ -39,5 +40,3 @@ def append_stream(stream: DataFrame, store: Store, order: list[str], checkpoint:
     """Start the query; with available_now it ends when the input is used up."""
     w = stream.writeStream.foreachBatch(ordered_append(store, order, late)).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
-
-

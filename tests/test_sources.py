@@ -1,3 +1,4 @@
+import json
 import os
 from dataclasses import dataclass
 from decimal import Decimal
@@ -112,8 +113,9 @@ def test_repair(spark, tmp_path):
         ds.open_file(f)
     assert ds.repair_file(f) == 501 and ds.verify_file(f) == 501
     path = str(tmp_path / "two")
-    ds.save(dataset(spark, 500), path, 2, page_size=1024)
+    ds.save(dataset(spark, 500), path, 2, page_size=1024, codec="uncompressed")
     (f,) = ds.discover(path)
+    assert ds.open_file(f).page_count > 4
     with open(f, "r+b") as h:
         h.seek(lay.HEADER_2 + 3 * 1024 + 100)
         h.write(b"\xff\xfe\xfd")
@@ -142,6 +144,13 @@ def test_store_and_stream(spark, tmp_path):
     assert store.dataset().df.count() == 91 and spark.read.parquet(store.path + "/dead").count() == 1
     store.compact()
     assert store.dataset().df.count() == 91 and store.high_water() == 40
+    spark.createDataFrame([(41, 2.0, "b")], "Time int, Value double, Str string").coalesce(1).write.mode("append").parquet(src)
+    append_stream(stream, store, ["Time", "Value"], str(tmp_path / "check9"), late="drop").awaitTermination()
+    assert store.dataset().df.count() == 92 and store.high_water() == 41  # a batch after a compaction is not skipped
+    assert store.vacuum() == 0  # a kept header still lists the folders before the compaction
+    for _ in range(3):
+        store.set_header(store.dataset())
+    assert store.vacuum() > 0 and store.dataset().df.count() == 92
     with pytest.raises(FormatError):
         store.create(store.dataset())
 
@@ -159,6 +168,62 @@ def test_stream_fails_on_late_keys(spark, tmp_path):
     assert store.dataset().df.count() == 21
 
 
+def test_store_of_other_keys(spark, tmp_path):
+    """High-water marks of float and decimal keys, and writers that meet."""
+    from keyframe.errors import IncompatibleError
+
+    for kind, column, values in (("f:8", "double", [-0.5, 1.5, float("inf")]), ("f:16", "decimal(28,4)", [Decimal("1.2500"), Decimal("3.5000"), Decimal("9.0000")])):
+        s = Schema.parse("T", f"k:{kind}")
+        store = Store(spark, str(tmp_path / column))
+        store.create(FrameDataset(spark.createDataFrame([(values[1],)], f"k {column}"), s))
+        assert store.high_water() == values[1]
+        store.append(spark.createDataFrame([(values[2],)], f"k {column}"), ["k"])
+        assert store.high_water() == values[2] and store.header()["frame_count"] == 2
+        h = store.header()
+        store._publish(h, h["number"])
+        with pytest.raises(IncompatibleError):
+            store._publish(h, h["number"])
+    assert not Store(spark, str(tmp_path / "none")).exists()
+
+
+@pytest.mark.parametrize("packing", ["tight", "estimate"])
+@pytest.mark.parametrize("codec,encoding", [("smallest", "smallest"), ("zstd", 2), ("uncompressed", 0)])
+def test_packing(packing, codec, encoding):
+    r = np.random.default_rng(3)
+    frames = fr.encode_columns(TICK, {"Time": sorted(r.integers(0, 9999, 4000).tolist()), "Value": r.normal(size=4000).round(2).tolist(), "Str": ["ab"] * 4000})
+    stats = lay.Packing()
+    raw = lay.write_file_2(TICK, "t", (), frames, 4096, codec, encoding, 6, packing, stats)
+    h = lay.read_header_2(raw)
+    pages = [lay.read_page(TICK, raw[lay.HEADER_2 + i * 4096 :][:4096]) for i in range(h.page_count)]
+    assert np.concatenate([f for _, f in pages]).tobytes() == frames.tobytes() and stats.pages == h.page_count and stats.trials < 40 * stats.pages * (9 if codec == "smallest" else 1)
+    if packing == "tight" and codec != "smallest":
+        at = 0
+        for p, _ in pages[:-1]:  # one more frame would not fit
+            more = frames[at : at + p.frame_count + 1]
+            assert len(fr.compress(fr.encode_payload(TICK, more, encoding), fr.CODECS[codec])) > 4096 - lay.PAGE_HEADER
+            at += p.frame_count
+
+
+def test_file_checks_find_faults(spark, tmp_path):
+    from keyframe.sources import facts
+
+    path = str(tmp_path / "set")
+    ds.save(dataset(spark, 500), path, 2, page_size=1024, codec="uncompressed")
+    assert [(r.frame_count, r.problem) for r in facts.verify_files(spark, path).collect()] == [(500, None)]
+    (f,) = ds.discover(path)
+    with open(f, "r+b") as h:
+        h.seek(lay.HEADER_2 + 3 * 1024 + 100)
+        h.write(b"\xff\xfe\xfd")
+    (r,) = facts.verify_files(spark, path).collect()
+    assert r.problem == "page 3: page checksum" and [x.problem for x in facts.light_verify(spark, path).collect()] == [None]
+    with open(f, "ab") as h:
+        h.write(b"x")
+    (r,) = facts.light_verify(spark, path).collect()
+    assert r.problem == "file length"
+    (tmp_path / "set" / "other.frames").write_bytes(b"none of ours")
+    assert ds.discover(path) == [f] and ds.discover([path, f]) == [f] and len(ds.discover(path, ".FRAMES")) == 2
+
+
 @dataclass
 class Quote:
     time: Annotated[int, Col("i:4", key=True)]
@@ -205,13 +270,36 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["cat", path, "3", "csv"]) == 0
     assert capsys.readouterr().out.splitlines() == ["Time,Value,Str", "3,3,s6", "3,3.5,s7"]
     assert cli.main(["verify", path]) == 0 and "60 frames" in capsys.readouterr().out
+    assert cli.main(["verify", "--light", path]) == 0 and "sound" in capsys.readouterr().out
+    assert cli.main(["ls", path, "jsonl"]) == 0
+    (row,) = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert (row["version"], row["frame_count"], row["first_key"], row["last_key"], row["string_count"]) == (2, 60, "0", "29", 1)
+    for fmt, lines in (("csv", 2), ("md", 3), ("table", 2)):
+        assert cli.main(["ls", path, fmt]) == 0 and len(capsys.readouterr().out.splitlines()) == lines
+    assert cli.main(["inspect", path]) == 0
+    out = capsys.readouterr().out
+    assert "codec_zstd = 1" in out and "s5" in out
+    more = str(tmp_path / "more")
+    ds.save(FrameDataset(spark.createDataFrame([(29, 1.0, "z"), (50, 1.0, "z")], "Time int, Value double, Str string"), TICK, "ticks", ("x",)), more)
+    assert cli.main(["append", more, path]) == 1  # keys would fall
+    both = str(tmp_path / "both")
+    assert cli.main(["concat", path, more, both]) == 0 and cli.main(["concat", path, more, both]) == 1
+    assert cli.main(["append", path, more]) == 0 and "frame_count = 62" in capsys.readouterr().out
+    assert [tuple(r)[1:] for r in ds.load(spark, path).df.orderBy("_frame_index").collect()][-2:] == [(29, 1.0, "z"), (50, 1.0, "z")]
+    assert cli.main(["append", path, str(tmp_path / "odd")]) == 1
+    assert cli.main(["rm", path, "--yes", "--out", str(tmp_path / "back"), "50..", "--force"]) == 0
+    assert cli.main(["set", path, more, "title=new", "rename:Str=Text", "Value=none"]) == 0
+    assert ds.load(spark, more + ".new").title == "new" and ds.load(spark, path + ".new").schema.names[2] == "Text"
+    assert cli.main(["new", str(tmp_path / "fresh"), "--template", more]) == 0 and ds.load(spark, str(tmp_path / "fresh")).schema == TICK
     assert cli.main(["convert", path, "v1", str(tmp_path / "old")]) == 0
     assert ds.open_file(ds.discover(str(tmp_path / "old"))[0]).version == 1
     assert cli.main(["rm", path, "--yes", "--out", str(tmp_path / "less"), "0..9"]) == 0
-    assert ds.load(spark, str(tmp_path / "less")).df.count() == 40
+    assert ds.load(spark, str(tmp_path / "less")).df.count() == 42
     assert cli.main(["find", path, ".."]) == 1
+    assert cli.write_tokens(["smallest", "zz", "estimate-shrink"]) == ({"codec": "smallest", "encoding": "smallest", "packing": "estimate"}, ["zz"])
+    assert cli.write_tokens(["zstd:9"])[0] == {"codec": "zstd", "level": 9}
     assert cli.write_tokens(["lz4", "1MiB", "x"]) == ({"codec": "lz4", "page_size": 1 << 20}, ["x"])
-    for bad in (["zstd", "lz4"], ["1B"]):
+    for bad in (["zstd", "lz4"], ["1B"], ["smallest", "row-raw"]):
         with pytest.raises(ValueError):
             cli.write_tokens(bad)
     assert os.path.isdir(path)
