@@ -39,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """Whole rows in one column, `row`, so that names which a stage adds meet none of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same as a compressed table, of which later steps read only the columns that they need."""
     spark = df.sparkSession
@@ -81,6 +86,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the bytes of df, for the number of tasks; 0 if it has none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's decimal text leaves the held-out remainder."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) == HELD_OUT_REMAINDER, F.lit(False))
