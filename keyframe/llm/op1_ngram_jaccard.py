@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ID_BLOCK, U64, Groups, cut, mix, release, shingle_hashes, slices, table, text_buffer, trim, trimmed, written
+from .common import ID_BLOCK, U64, Groups, boxed, cut, mix, release, shingle_hashes, slices, table, text_buffer, trim, trimmed, written
 from .components import components
 from .signature_tree import Links, join
 
@@ -274,8 +274,8 @@ def _candidates(left: DataFrame) -> DataFrame:
     return probes.join(hubs, ["token", "size"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _text_hash():
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _text_hash(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -325,10 +325,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = found.groupBy("doc_id", "t").agg(F.count("*").alias("rows"), F.min(F.col("n_shingles") == 0).alias("empty"))
     best = found.groupBy("doc_id").agg(F.min(F.struct("empty", "t", "rows")).alias("best"))
     best = best.select(F.col("doc_id").alias("_id"), F.col("best.t").alias("_t"), (F.col("best.rows") > 1).alias("_again"))
-    rows = docs.withColumn("_text", _text_hash())
-    rows = rows.join(best, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_t")))
-    once = rows.where("not _again").unionByName(rows.where("_again").dropDuplicates(["_id"]))
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = boxed(docs)
+    found = rows.join(best, (F.col("row.doc_id").cast("long") == F.col("_id")) & (_text_hash("row.text") == F.col("_t")))
+    once = found.where("not _again").select("row").union(found.where("_again").dropDuplicates(["_id"]).select("row"))
+    return once.union(rows.where("row.doc_id is null")).select("row.*")
 
 
 ORACLE_SQL = r"""

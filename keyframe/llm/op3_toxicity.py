@@ -82,6 +82,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def log_count_ratios(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """From how many other and toxic documents hold each n-gram (two rows), of how many there are."""
+    p = (SMOOTH + counts) / (SMOOTH * 2 + total)
+    return np.log(p[1]) - np.log(p[0])
+
+
 def fit(texts: list[str], labels: np.ndarray) -> Model:
     """Learn from texts and their labels (0 or 1)."""
     y = np.asarray(labels, np.float64)
@@ -98,9 +104,6 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         small[int(k)][np.unique(grams(t) >> shift)] += 1
     total = np.array([[len(y) - y.sum()], [y.sum()]])
 
-    def ratio(c: np.ndarray) -> np.ndarray:
-        return np.log((SMOOTH + c[1]) / (SMOOTH * 2 + total[1])) - np.log((SMOOTH + c[0]) / (SMOOTH * 2 + total[0]))
-
     def worth(c: np.ndarray) -> np.ndarray:
         """A G-statistic's share of what an n-gram tells, and nothing for rare ones."""
         s = c.sum(axis=0)
@@ -126,7 +129,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     pick = np.argsort(-worth(counts), kind="stable")[:FEATURES]
     pick = pick[worth(counts)[pick] > 0]
     pick = pick[np.argsort(hashes[pick])]
-    hashes, r = hashes[pick], ratio(counts[:, pick])
+    hashes, r = hashes[pick], log_count_ratios(counts[:, pick], total)
     x = np.zeros((len(texts), len(hashes)), np.float32)
     for i, h in enumerate(held):
         k = np.searchsorted(hashes, h)

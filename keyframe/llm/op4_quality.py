@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, slices, span_hashes, table, text_buffer, trimmed, word_spans
+from .common import U64, boxed, cut, mix, slices, span_hashes, table, text_buffer, trimmed, word_spans
 
 BITS, GRAM, TRAIN_DOCS, SMOOTH, SEED, TEMPER = 15, 3, 4000, 0.5, 1234, 1000.0
 BUCKETS = 1 << BITS
@@ -169,7 +169,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are not drawn go."""
+    """Pipeline stage: documents that are not drawn go.
+
+    Rows meet what is drawn by id (null is an id here) and text, so repeated rows stay or go together;
+    a null text and an empty one have the same n-grams, but noise of their own.
+    """
     kept = resample(docs, table(spark, sf_dir, "labels")).where("selected").select(F.col("doc_id").alias("_id"), F.col("salt").alias("_salt")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_salt"))
-    return docs.join(kept, on, "left_semi").select(docs.columns)
+    on = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("_salt"))
+    return boxed(docs).join(kept, on, "left_semi").select("row.*")

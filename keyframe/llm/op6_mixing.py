@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import boxed, cut, table
 from .op9_winnowing import BLANKS
 
 SHARE, MAX_EPOCHS, SEED, RANGE_DOCS, MAX_LEAVES = 0.8, 2, 17, 2048, 100_000
@@ -138,7 +138,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mixture takes them."""
+    """Pipeline stage: documents as often as the mixture takes them.
+
+    Rows meet what is taken by id (null is an id here) and text; rows that repeat, which no order tells
+    apart, are all taken as often as the one that comes most often.
+    """
     taken = mix(docs).groupBy("doc_id", "salt").agg((F.max("epoch") + 1).cast("int").alias("_times")).withColumnRenamed("doc_id", "_id").withColumnRenamed("salt", "_salt")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_salt"))
-    return docs.join(taken, on).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    on = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("_salt"))
+    return boxed(docs).join(taken, on).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

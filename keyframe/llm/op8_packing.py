@@ -134,5 +134,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: where each piece of each document goes."""
+    """Pipeline stage, the last: where each piece of each document goes.  Rows without id, without text and repeated ones are packed as they come."""
     return pack(docs, _vocabulary())
