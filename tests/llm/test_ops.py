@@ -141,7 +141,7 @@ def test_components(spark, monkeypatch, local):
 # ---------------------------------------------------------------- 2
 
 
-def removed(texts, ids):
+def removed(texts, ids, kept_too=False):
     order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i]))
     first, out = {}, {}
     raw = [(texts[i] or "").encode() for i in range(len(texts))]
@@ -156,7 +156,7 @@ def removed(texts, ids):
                 gone[p : p + 50] = b"\1" * 50
         kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), *([kept] if kept_too else []))
     return out
 
 
@@ -567,9 +567,10 @@ def test_packing(spark):
 # ---------------------------------------------------------------- 9
 
 
-def marks_of(text):
-    w = [x for x in text.translate({ord(c): " " for c in "\t\n\x0b\f\r"}).split(" ") if x]
-    return len(w)
+def marks_in(fingerprint):
+    from keyframe.llm.op9_winnowing import POSITION_BITS
+
+    return {int(m, 16) >> POSITION_BITS for m in fingerprint.split()}
 
 
 def test_winnowing(spark):
@@ -587,37 +588,19 @@ def test_winnowing(spark):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[d].near_edited <= 1 and (got[d].fingerprint == "") == (marks_of(t) == 0)
+        own, changed, following = (marks_in(f) for f in (got[d].fingerprint, got[d].edited_fingerprint, got[ids[(i + 1) % len(ids)]].fingerprint))
+        assert bool(own) == bool(t)
+        for value, other in ((got[d].near_edited, changed), (got[d].near_next, following)):
+            assert value == (len(own & other) / len(own | other) if own | other else 1.0)
     assert got[ids[-3]].fingerprint == got[ids[-2]].fingerprint and got[ids[-3]].near_next == 1.0
     alone = fingerprints(frame(spark, ["a b c d", None], ids=[7, None])).collect()
     assert {x.doc_id: x.near_next for x in alone} == {7: 1.0, None: 1.0}
     assert fingerprints(frame(spark, [])).count() == 0
 
 
-def test_winnowing_rule(spark):
-    """Each window's least hash, the rightmost of equals, with its position; and the guarantee."""
-    from keyframe.llm.op9_winnowing import GRAM, HASH_BITS, POSITION_BITS, WINDOW, with_marks
-
-    r = random.Random(18)
-    texts = [words(r, 60, "ab") for _ in range(8)]
-    shared = words(r, GRAM + WINDOW - 1)
-    texts += [words(r, 20) + " " + shared + " " + words(r, 30), shared + " " + words(r, 11)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    found = [x.m for x in with_marks(df, "text", "m").collect()]
-    grams = sorted({tuple(t.split()[i : i + GRAM]) for t in texts for i in range(len(t.split()) - GRAM + 1)})
-    h = spark.createDataFrame([(list(g),) for g in grams], "g array<string>").select("g", F.xxhash64(*[F.col("g")[i] for i in range(GRAM)]).alias("h")).collect()
-    hashed = {tuple(x.g): x.h & ((1 << HASH_BITS) - 1) for x in h}
-    for t, m in zip(texts, found, strict=True):
-        w = t.split()
-        g = [hashed[tuple(w[i : i + GRAM])] for i in range(len(w) - GRAM + 1)]
-        want = {min((g[j], -j) for j in range(i, i + WINDOW)) for i in range(max(1, len(g) - WINDOW + 1))}
-        assert {(v >> POSITION_BITS, (v & ((1 << POSITION_BITS) - 1)) - ((1 << POSITION_BITS) - 1)) for v in m} == want and len(m) == len(want)
-    assert {v >> POSITION_BITS for v in found[-1]} & {v >> POSITION_BITS for v in found[-2]}
-
-
 def test_winnowing_short_and_blank_free(spark):
     """Marks in code points: what keeps its first half shares a mark, with few words or none."""
-    from keyframe.llm.op9_winnowing import CHARS, HASH_BITS, POSITION_BITS, SPAN, WINDOWS, fingerprints, with_char_marks
+    from keyframe.llm.op9_winnowing import BASE, CHARS, HASH_BITS, POSITION_BITS, PRIME, SPAN, WINDOWS, fingerprints, with_char_marks
 
     r = random.Random(20)
     texts = ["".join(r.choices("abcdefg ", k=n)) for n in (15, 16, 17, 23, 40, 60, 134, 135, 300)]
@@ -631,8 +614,18 @@ def test_winnowing_short_and_blank_free(spark):
     found = [x.m for x in with_char_marks(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "m").collect()]
     whole = [[t[i : i + CHARS] for i in range(max(1, len(t) - CHARS + 1))] for t in texts]
     grams = sorted({g for w in whole for g in w})
-    h = spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.xxhash64(F.encode("g", "UTF-32")).alias("h")).collect()
-    hashed = {x.g: x.h & ((1 << HASH_BITS) - 1) for x in h}
+    chars = sorted({c for t in texts for c in t})
+    code = {x.c: x.h % PRIME for x in spark.createDataFrame([(c,) for c in chars], "c string").select("c", F.xxhash64(F.encode("c", "UTF-32")).alias("h")).collect()}
+
+    def rolled(g):
+        h = 0
+        for c in g:
+            h = (h * BASE + code[c]) % PRIME
+        return h
+
+    short = spark.createDataFrame([(g,) for g in grams if len(g) < CHARS], "g string").select("g", F.xxhash64(F.encode("g", "UTF-32")).alias("h")).collect()
+    full = spark.createDataFrame([(g, rolled(g)) for g in grams if len(g) == CHARS], "g string, r long").select("g", F.xxhash64("r").alias("h")).collect()
+    hashed = {x.g: x.h & ((1 << HASH_BITS) - 1) for x in short + full}
     for w, m in zip(whole, found, strict=True):
         n = next((n for n in (16, 8, 4, 2) if n <= SPAN and len(w) >= n * WINDOWS), 1)
         want = {min((hashed[w[j]], -j) for j in range(i, i + n)) for i in range(len(w) - n + 1)}
