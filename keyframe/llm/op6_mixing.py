@@ -3,7 +3,9 @@
 Documents hang on a tree: root, domain, language, source.  The token budget goes
 down by the target weights; a node that cannot take its share (its tokens times
 MAX_EPOCHS) is filled, and what is left over goes to its siblings by their
-weights, and to the parent's siblings only when the whole family is full.  A
+weights, and to the parent's siblings only when the whole family is full.  Domains and
+languages are budgeted on the driver; sources, of which there may be any number, as rows:
+those of a family are full up to a place in the order of capacity over weight.  A
 leaf with a budget of b tokens over t tokens gives all its documents floor(b / t)
 times and, of the next epoch, the documents of the seeded order that start
 before the rest of the budget is used up.
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import boxed, cut, table
 from .op9_winnowing import BLANKS
 
-SHARE, MAX_EPOCHS, SEED, RANGE_DOCS, MAX_LEAVES = 0.8, 2, 17, 2048, 100_000
+SHARE, MAX_EPOCHS, SEED, RANGE_DOCS = 0.8, 2, 17, 2048
+#: Leaves (five numbers each) that are broadcast to the documents; more are joined by a shuffle.
+MAX_BROADCAST = 100_000
 #: Target weights of the registered query, by level; other names have weight 1.
 WEIGHTS = {"domain": {"low": 3.0, "high": 2.0}, "lang": {"en": 5.0, "fr": 2.0, "de": 2.0, "es": 1.0}, "source": {"src0": 3.0}}
 LEVELS = ("domain", "lang", "source")
@@ -54,11 +58,11 @@ class Node:
 
 
 def grow(leaves: list[tuple], weights: dict, default: float = 1.0) -> Node:
-    """A tree from (domain, lang, source, tokens)."""
+    """A tree from (domain, lang, source, tokens), or of the upper levels only."""
     root = Node(1.0)
     for *path, tokens in sorted(leaves):
         node = root
-        for level, name in zip(LEVELS, path, strict=True):
+        for level, name in zip(LEVELS, path, strict=False):
             node = node.children.setdefault(name, Node(float(weights.get(level, {}).get(name.removeprefix(NAMED), default))))
         node.tokens += tokens
     return root
@@ -95,6 +99,35 @@ def leaves_of(node: Node, path: tuple = ()) -> list[tuple]:
     return [x for k, c in node.children.items() for x in leaves_of(c, (*path, k))]
 
 
+def spread_rows(leaves: DataFrame, weights: dict, default: float = 1.0) -> DataFrame:
+    """leaves (domain, lang, source, tokens, n, capacity, given), given to the family -> the same with budget, as spread has it.
+
+    Weights of zero count only when all others are full, and then alike.
+    """
+    table = weights.get("source", {})
+    name = F.substring("source", len(NAMED) + 1, 1 << 30)
+    weight = F.lit(float(default))
+    if table:
+        found = F.create_map(*[F.lit(x) for k, w in table.items() for x in (k, float(w))])
+        weight = F.coalesce(F.try_element_at(found, name), weight)
+    family = ["domain", "lang"]
+    t = leaves.withColumn("w", weight).withColumn("zero", F.col("w") <= 0).withColumn("w", F.when(F.col("zero"), 1.0).otherwise(F.col("w")))
+    first = F.coalesce(F.sum(F.when(~F.col("zero"), F.col("capacity"))).over(Window.partitionBy(*family)), F.lit(0))
+    t = t.withColumn("to_share", F.when(F.col("zero"), F.greatest(F.lit(0), F.col("given") - first)).otherwise(F.least("given", first)).cast("long"))
+    alike = Window.partitionBy(*family, "zero")
+    by_level = alike.orderBy(F.col("capacity") / F.col("w"), "source")
+    filled = F.coalesce(F.sum("capacity").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    others = F.sum("w").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    t = t.withColumn("full", (F.col("to_share") - filled) * F.col("w") / others >= F.col("capacity"))
+    left = F.col("to_share") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(alike), F.lit(0))
+    t = t.withColumn("left", left).withColumn("open", F.sum(F.when(~F.col("full"), F.col("w"))).over(alike))
+    t = t.withColumn("share", F.when(~F.col("full"), F.greatest(F.lit(0.0), F.col("left") * F.col("w") / F.col("open")))).withColumn("whole", F.floor("share"))
+    t = t.withColumn("short", F.col("left") - F.sum("whole").over(alike))
+    rank = F.row_number().over(alike.orderBy("full", F.col("whole") - F.col("share"), "source"))
+    budget = F.when(F.col("full"), F.col("capacity")).otherwise(F.col("whole") + F.when(rank <= F.col("short"), 1).otherwise(0))
+    return t.withColumn("budget", budget.cast("long")).select(*leaves.columns, "budget")
+
+
 def tokens_of(text: Column) -> Column:
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), BLANKS[1:], BLANKS[0] * (len(BLANKS) - 1))
     return F.size(F.filter(F.split(t, " "), lambda w: w != "")).cast("long")
@@ -106,17 +139,16 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, domain=domain_of, share: float
     name = {c: F.coalesce(F.concat(F.lit(NAMED), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")}  # a null is '' until the end
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain(F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("domain"), name["lang"].alias("lang"), name["source"].alias("source"), tokens_of(F.col("text")).alias("tokens"), F.xxhash64(F.col("text").cast("string")).alias("salt"))
     rows = cut(rows)
-    found = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    root = grow([(r.domain, r.lang, r.source, r.tokens) for r in found], weights)
+    leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
+    found = leaves.groupBy("domain", "lang").agg(F.sum("tokens").alias("tokens")).collect()  # one row for each language of a domain
+    root = grow([(r.domain, r.lang, r.tokens) for r in found], weights)
     spread(root, int(share * sum(r.tokens for r in found)), epochs)
-    docs_of = {(r.domain, r.lang, r.source): r.n for r in found}
-    plan = []
-    for *path, tokens, budget in leaves_of(root) if found else []:
-        full, rest = divmod(budget, tokens) if tokens else (epochs, 0)
-        plan.append((*path, full, rest, max(1, docs_of[tuple(path)] // RANGE_DOCS)))
-    plan = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, full long, rest long, ranges long"))  # at most MAX_LEAVES rows
+    given = spark.createDataFrame([(d, lang, b) for d, lang, _, b in leaves_of(root)] if found else [], "domain string, lang string, given long")
+    leaves = spread_rows(leaves.withColumn("capacity", F.col("tokens") * epochs).join(given, ["domain", "lang"]), weights)
+    full = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(epochs).cast("long")
+    plan = leaves.withColumn("full", full).select(*LEVELS, "full", F.when(F.col("tokens") > 0, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(0).alias("rest"), F.greatest(F.lit(1), F.floor(F.col("n") / RANGE_DOCS)).cast("long").alias("ranges"))
+    plan = cut(plan)
+    plan = F.broadcast(plan) if plan.count() <= MAX_BROADCAST else plan
     t = rows.join(plan, list(LEVELS)).withColumn("order", F.xxhash64(F.lit(seed), "full", "doc_id", "salt"))
     t = t.withColumn("range", F.pmod(F.shiftright("order", 24), F.col("ranges")))
     sums = t.where("rest > 0").groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("sum"))
