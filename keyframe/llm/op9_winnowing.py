@@ -1,9 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame operations only (operator 9).
 
 A text is its sequence of code points, blanks among them.  Every CHARS consecutive
-ones have a polynomial hash modulo PRIME, rolled up by doubling: the hash of 2m code points
-at a place is that of the m there times BASE**m plus that of the m after them, so each is
-made once from hashes that its neighbours use too.  Of each SPAN consecutive hashes the least is chosen, the
+ones are hashed, each by one function of its bytes: a hash that is rolled from the one before
+gives the same marks, but as columns it takes several passes over boxed numbers and
+five times the time.  Of each SPAN consecutive hashes the least is chosen, the
 rightmost of equals, and kept with its position.  Two texts that share
 CHARS + SPAN - 1 = 23 consecutive code points share a mark.  In a text with fewer
 than WINDOWS * SPAN grams the span is halved until WINDOWS of it fit (1 at least),
@@ -12,7 +12,7 @@ smaller one that holds it, so what is shared is found across sizes too, and two
 texts of 15 code points or more that share their first half share a mark.  A text
 with fewer code points than CHARS has one gram; an empty one has no marks.
 
-A mark is one long: HASH_BITS of the scrambled hash above POSITION_BITS that count down
+A mark is one long: HASH_BITS of the hash above POSITION_BITS that count down
 from the largest position, so the least long of a window is the least hash and,
 of equals, the rightmost.  Positions count modulo 2**POSITION_BITS.  The fingerprint lists the marks in hexadecimal; the
 likeness of two is the Jaccard similarity of their hashes (1 if both are empty).
@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 from .common import parts, table, table_bytes
 
 CHARS, SPAN, WINDOWS = 8, 16, 8
-#: The largest prime of which a product of two residues fits a long, and a base.
-PRIME, BASE = 3_037_000_493, 1_000_003_717
 #: Bytes of text that one task should read.
 TASK_BYTES = 32 << 20
 HASH_BITS, POSITION_BITS = 35, 28
@@ -54,30 +52,18 @@ def _wider(least: str, step: int) -> Column:
     return F.transform(F.slice(least, 1, F.size(least) - step), lambda x, i: F.least(x, F.get(F.col(least), i + step)))
 
 
-def _doubled(h: str, step: int) -> Column:
-    """The hash of each `step` consecutive code points -> that of each 2 * step."""
-    power = F.lit(pow(BASE, step, PRIME))
-    return F.transform(F.slice(h, 1, F.size(h) - step), lambda x, i: (x * power + F.get(F.col(h), i + step)) % PRIME)
-
-
 def with_char_marks(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the array of marks of column `text`, over its code points, as column `out`."""
     df = df.withColumn("_b", F.array(F.encode(F.col(text), "UTF-32"))).withColumn("_m", F.char_length(text))
     # 4 bytes each, so a gram is found without reading what lies before; bytes held by a lambda's variable are not copied for each gram
-    codes = F.transform("_b", lambda b: F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda i: F.pmod(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4))), F.lit(PRIME))))[0]
-    df = df.withColumn("_h", F.when(F.col("_m") >= CHARS, codes))
-    step = 1
-    while step < CHARS:
-        df = df.withColumn("_h", _doubled("_h", step))
-        step *= 2
-    grams = F.transform("_h", lambda x, i: _mark(F.xxhash64(x), i))
+    grams = F.transform("_b", lambda b: F.transform(F.sequence(F.lit(0), F.col("_m") - CHARS), lambda i: _mark(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHARS))), i)))[0]
     few = F.when(F.col("_m") > 0, F.array(_mark(F.xxhash64(F.col("_b")[0]), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_g", F.when(F.col("_m") >= CHARS, grams).otherwise(few)).withColumn("_n", F.size("_g"))
     step = 1
     while step < SPAN:
         df = df.withColumn("_g", F.when(F.col("_n") >= 2 * step * WINDOWS, _wider("_g", step)).otherwise(F.col("_g")))
         step *= 2
-    return df.withColumn(out, F.array_distinct("_g")).drop("_b", "_m", "_g", "_n", "_h")
+    return df.withColumn(out, F.array_distinct("_g")).drop("_b", "_m", "_g", "_n")
 
 
 def as_text(marks: str) -> Column:
