@@ -23,12 +23,22 @@ def is_null(f: Field, c: Column) -> Column:
     return F.lit(False)
 
 
+def _without_exponent(text: Column) -> Column:
+    """`-1.25E-7` as `-0.000000125`: the shortest digits, moved by their exponent, however large."""
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([^E]*)", 1), r"\.0$|\.", "")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    n = F.length(digits)
+    split = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n))
+    large = F.when(n > power + 1, split).otherwise(F.rpad(digits, power + 1, F.lit("0")))
+    return F.concat(sign, F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(large))
+
+
 def plain(f: Field, c: Column) -> Column:
     """Integers and strings as they are; floats without exponent or a trailing `.0`."""
     if f.family == Family.FLOAT and not f.is_decimal:
         text = c.cast("string")
-        whole = F.regexp_replace(c.cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
-        exact = F.when(text.rlike("E"), whole).otherwise(F.regexp_replace(text, r"\.0$", ""))
+        exact = F.when(text.contains("E"), _without_exponent(text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
         return F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(exact)
     return c.cast("string")
 
@@ -39,7 +49,12 @@ def grouped(c: Column) -> Column:
 
 def fixed_point(c: Column, points: int, percent: bool = False) -> Column:
     """value / 10^points with grouped integer digits and exactly `points` decimals."""
-    text = F.format_number((c.cast("decimal(20,0)") / F.lit(10**points).cast("decimal(9,0)")).cast(f"decimal(38,{points})"), points)
+    if points:
+        unit = F.lit(10**points)
+        whole, rest = F.abs(F.call_function("div", c, unit)), F.abs((c % unit).cast("long"))
+        text = F.concat(F.when(c < 0, "-").otherwise(""), grouped(whole), F.lit("."), F.lpad(rest.cast("string"), points, "0"))
+    else:
+        text = grouped(c)
     return F.concat(text, F.lit("%")) if percent else text
 
 
@@ -50,7 +65,9 @@ def timestamp(c: Column, kind: str) -> Column:
     c = c.cast("long")
     part = F.pmod(c, unit)
     seconds = F.floor((c - part) / unit) if digits == 0 else ((c - part).cast("decimal(20,0)") / unit).cast("long")
-    text = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(seconds).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss")
+    none = F.lit(0)
+    at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(none, none, none, seconds.cast("decimal(18,6)"))  # no zone takes part
+    text = F.translate(at.cast("string"), " ", "T")
     return F.concat(text, F.lit("."), F.lpad(part.cast("string"), digits, "0"), F.lit("Z")) if digits else F.concat(text, F.lit("Z"))
 
 
@@ -109,14 +126,35 @@ def _json_value(f: Field, c: Column) -> Column:
     return F.when(is_null(f, c), "null").otherwise(text)
 
 
+def _float_bits(f: Field, c: Column) -> Column:
+    """Lower-case hexadecimal of an IEEE number's bytes, lowest first; by arithmetic, since Spark has no cast to bits."""
+    bits, mantissa, least = (64, 52, -1022) if f.length == 8 else (32, 23, -126)
+    v = F.abs(c.cast("double"))
+    e = F.greatest(F.floor(F.log2(v)).cast("int"), F.lit(least))
+    e = F.when(v < F.pow(F.lit(2.0), e), e - 1).when(v >= F.pow(F.lit(2.0), e + 1), e + 1).otherwise(e)  # log2 may round past a power
+    e = F.greatest(e, F.lit(least))
+    scaled = v / F.pow(F.lit(2.0), e)  # exact: 1 to 2, or below 1 for the smallest numbers
+    normal = scaled >= 1
+    exponent = F.when(normal, e - least + 1).otherwise(0).cast("long")
+    part = ((scaled - F.when(normal, 1.0).otherwise(0.0)) * float(1 << mantissa)).cast("long")
+    special = ((1 << (bits - 1 - mantissa)) - 1) << mantissa
+    body = F.when(F.isnan(c), F.lit(special | 1 << (mantissa - 1))).when(v == float("inf"), F.lit(special)).when(v == 0, F.lit(0).cast("long")).otherwise(F.shiftleft(exponent, mantissa) + part)
+    big = F.lpad(F.hex(body.cast("long")), bits // 4, "0")
+    top = F.conv(F.substring(big, 1, 1), 16, 10).cast("int")
+    big = F.when(c.cast("string").startswith("-"), F.concat(F.hex((top + 8).cast("long")), F.substring(big, 2, 64))).otherwise(big)
+    return F.lower(F.concat(*[F.substring(big, 2 * (f.length - i) - 1, 2) for i in range(f.length)]))
+
+
 def _little_endian(f: Field, c: Column) -> Column:
     """Lower-case hexadecimal of a field's bytes."""
     n = f.length
     if f.family == Family.UTF8:
         raw = F.hex(c.cast("binary"))
         return F.lower(F.rpad(raw, 2 * n, "20"))
+    if f.is_decimal:
+        raise SchemaError("hex of a decimal needs its stored scale")
     if f.family == Family.FLOAT:
-        raise SchemaError("hex of floats needs the stored bytes")
+        return _float_bits(f, c)
     if n == 8 and f.family != Family.SIGNED:
         whole = c.cast("decimal(20,0)")
         top = F.floor(whole / F.lit(1 << 32)).cast("long")

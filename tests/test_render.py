@@ -1,3 +1,5 @@
+import struct
+
 from pyspark.sql import functions as F
 
 from keyframe.dataset import FrameDataset
@@ -12,6 +14,7 @@ def show(spark, field, value, kind="bigint"):
     return spark.sql(f"SELECT CAST({value} AS {kind}) AS v").select(render.display(f, F.col("v"))).first()[0]
 
 
+# Renderings of one frame, and of numbers and times below, that must be the same everywhere.
 def test_golden_frame(spark):
     df = spark.createDataFrame([(1522742400125, 5678900, "AAPL", "AB", 1)], "time long, price long, symbol string, name string, code int")
     d = FrameDataset(df, QUOTE, "q", ("MSFT", "AAPL"))
@@ -33,6 +36,16 @@ def test_fixed_point(spark):
     assert show(spark, "a:i:4:fixed-4", -(2**31)) is None and show(spark, "a:u:4:fixed-1", 0) == "0.0"
 
 
+def test_hex_of_floats(spark):
+    values = [0.0, -0.0, 1.0, -1.5, 0.1, 1e300, -1e-300, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 3.0, 2.0**-1074 * 12345, 0.9999999999999999]
+    for kind, pack, column in (("f:8", "<d", "double"), ("f:4", "<f", "float")):
+        some = [v for v in values if kind == "f:8" or v in (0.0, 1.0, -1.5, 3.0, float("inf"), float("-inf"))] + ([1e-45, 1.1754943508222875e-38, 3.4028234663852886e38, 0.10000000149011612] if kind == "f:4" else [])
+        s = Schema.parse("T", f"k:i:4,v:{kind}")
+        d = FrameDataset(spark.createDataFrame(list(enumerate(some)), f"k int, v {column}"), s, "t")
+        got = [r[0][8:] for r in d.df.orderBy("k").select(render.line(d, "hex")).collect()]
+        assert got == [struct.pack(pack, v).hex() for v in some]
+
+
 def test_timestamps(spark):
     assert show(spark, "a:i:8:unix-seconds", 0) == "1970-01-01T00:00:00Z"
     assert show(spark, "a:i:8:unix-milliseconds", -1) == "1969-12-31T23:59:59.999Z"
@@ -47,6 +60,8 @@ def test_timestamps(spark):
 def test_floats_and_escapes(spark):
     assert show(spark, "a:f:8", 1.0, "double") == "1" and show(spark, "a:f:8", "2.5", "double") == "2.5"
     assert show(spark, "a:f:8", "'NaN'", "double") == "NaN" and show(spark, "a:f:8", "1e10", "double") == "10000000000"
+    for text, want in (("1e22", "10000000000000000000000"), ("1e-20", "0.00000000000000000001"), ("-1.25e-7", "-0.000000125"), ("1.5e300", "15" + "0" * 299), ("-12345678901234567", "-12345678901234568"), ("123456789.125", "123456789.125")):
+        assert show(spark, "a:f:8", text, "double") == want
     s = Schema.parse("T", "k:i:4,s:utf8:9")
     d = FrameDataset(spark.createDataFrame([(1, 'a,"b|\n')], "k int, s string"), s, "t")
     assert d.df.select(render.line(d, "csv")).first()[0] == '1,"a,""b|\n"'
