@@ -37,5 +37,21 @@ class FormatError(FrameError):
     """A file that is not what its header says."""
 
 
+class HeaderError(FormatError):
+    """Bytes at a file's start that are no header of either layout, or one with impossible values."""
+
+
+class LengthError(FormatError):
+    """A file of another length than its header says."""
+
+
+class PageError(FormatError):
+    """A page whose header, checksum, payload or place is wrong; names the page."""
+
+    def __init__(self, page: int, what: object) -> None:
+        self.page = page
+        super().__init__(f"page {page}: {what}")
+
+
 class IncompatibleError(FrameError):
     """Datasets that cannot be joined end to end: titles, schemas or formats differ."""

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql import types as T
 
-from ..errors import FormatError
+from ..errors import FormatError, LengthError, PageError
 from ..functions.keys import float_order, parse_key
 from ..types import Family, Schema
 from . import layouts as L
@@ -94,14 +94,26 @@ def open_file(path: str, key_index: int = 0, exact: bool = True) -> Opened:
         h = L.read_header_1(head, key_index)
         strings = L.read_strings_1(read_bytes(path, L.HEADER_1, h.string_length), h.string_count)
         if exact and size != h.first_frame + h.frame_count * h.schema.frame_length:
-            raise FormatError("file length")
+            raise LengthError("file length")
         return Opened(path, 1, h.schema, h.title, h.frame_count, strings, first_frame=h.first_frame)
     h = L.read_header_2(head)
     if exact and size != L.HEADER_2 + h.page_count * h.page_size:
-        raise FormatError("file length")
+        raise LengthError("file length")
     return Opened(path, 2, h.schema, h.title, h.frame_count, h.strings, h.page_size, h.page_count)
 
 
+def read_page(o: Opened, i: int) -> tuple[L.Page, np.ndarray]:
+    try:
+        return L.read_page(o.schema, read_bytes(o.path, L.HEADER_2 + i * o.page_size, o.page_size))
+    except FormatError as e:
+        raise PageError(i, e) from e
+
+
+def chunk_rows(schema: Schema, page_size: int = L.DEFAULT_PAGE, pages: int = 4) -> int:
+    """Frames that a writer should be given at a time: enough for some pages; for spark.sql.execution.arrow.maxRecordsPerBatch."""
+    return max(1, pages * (page_size - L.PAGE_HEADER) // schema.frame_length)
+
+
 def page_headers(o: Opened) -> list[L.Page]:
     f, p = open_fs(o.path)
     with f.open_input_file(p) as h:
@@ -161,7 +173,7 @@ class FrameReader(DataSourceReader):
             yield self._batch(o, np.frombuffer(raw, record_type(o.schema)), span.base + span.start)
             return
         for i in range(span.start, span.end):
-            page, frames = L.read_page(o.schema, read_bytes(o.path, L.HEADER_2 + i * o.page_size, o.page_size))
+            page, frames = read_page(o, i)
             yield self._batch(o, frames, span.base + page.first_index)
 
     def _batch(self, o: Opened, frames: np.ndarray, first: int):
@@ -338,7 +350,7 @@ def _file_pages(o: Opened):
         yield 0, np.frombuffer(read_bytes(o.path, o.first_frame, o.frame_count * o.schema.frame_length), record_type(o.schema))
         return
     for i in range(o.page_count):
-        page, frames = L.read_page(o.schema, read_bytes(o.path, L.HEADER_2 + i * o.page_size, o.page_size))
+        page, frames = read_page(o, i)
         yield page.first_index, frames
 
 

@@ -9,7 +9,7 @@ import pytest
 
 from keyframe import cli, typed
 from keyframe.dataset import FrameDataset
-from keyframe.errors import FormatError, KeyOrderError, KeyValueError, SchemaError, StringTableError
+from keyframe.errors import FormatError, HeaderError, KeyOrderError, KeyValueError, LengthError, PageError, RangeError, SchemaError, StringTableError
 from keyframe.operators import read
 from keyframe.sources import datasource as ds
 from keyframe.sources import frames as fr
@@ -78,7 +78,7 @@ def test_version_1_limits_and_strings():
         lay.write_header_1(lay.Header1(Schema.parse("T", "toolongname:i:4"), "t", 0))
     h = lay.Header1(TICK, "title", 7, 2, 9)
     assert lay.read_header_1(lay.write_header_1(h)) == h
-    with pytest.raises(FormatError):
+    with pytest.raises(HeaderError):
         lay.detect(b"nope")
 
 
@@ -109,7 +109,7 @@ def test_repair(spark, tmp_path):
     (f,) = ds.discover(path)
     with open(f, "ab") as h:
         h.write(fr.encode_columns(TICK, {"Time": [400, 1], "Value": [0.0, 0.0], "Str": ["", ""]}).tobytes() + b"xyz")
-    with pytest.raises(FormatError):
+    with pytest.raises(LengthError):
         ds.open_file(f)
     assert ds.repair_file(f) == 501 and ds.verify_file(f) == 501
     path = str(tmp_path / "two")
@@ -119,6 +119,8 @@ def test_repair(spark, tmp_path):
     with open(f, "r+b") as h:
         h.seek(lay.HEADER_2 + 3 * 1024 + 100)
         h.write(b"\xff\xfe\xfd")
+    with pytest.raises(PageError, match="page 3"):
+        ds.verify_file(f)
     n = ds.repair_file(f)
     assert 0 < n < 500 and ds.verify_file(f) == n
 
@@ -238,6 +240,16 @@ def test_typed(spark):
     d = typed.dataset_of(spark, Quote, [Quote(1, 5, "a"), Quote(2, 1, "b"), Quote(2, 0, "c")])
     assert list(typed.rows_of(d, Quote)) == [Quote(1, 5, "a"), Quote(2, 1, "b"), Quote(2, 0, "c")]
 
+    assert list(typed.rows_of(d, Quote, start=1, end=2)) == [Quote(2, 1, "b")]
+    e = typed.TypedEditor(d, Quote)
+    assert e.append([Quote(2, 9, "d"), Quote(7, 1, "e")]) == 2 and e.get(4) == Quote(7, 1, "e")
+    with pytest.raises(KeyOrderError):
+        e.append([Quote(9, 1, "f"), Quote(8, 1, "g")])
+    assert e.delete(0) and e.delete_keys([7]) == 1 and e.delete_between(0, 1) == 0 and e.dataset.df.count() == 3
+    with pytest.raises(RangeError):
+        e.get(3)
+    assert ds.chunk_rows(TICK, 4096) == 4 * (4096 - 80) // 16
+
     @dataclass
     class TwoKeys:
         a: Annotated[int, Col("i:4", key=True)]
