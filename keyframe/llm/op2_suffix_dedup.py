@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ID_BLOCK, U64, Groups, boxed, cut, mix, release, slices, stream, table, text_buffer, trim, trimmed
+from .common import ID_BLOCK, U64, Groups, cut, mix, release, slices, stream, table, text_buffer, trim, trimmed
 
 LENGTH, K = 50, 24
 LEFT = LENGTH - K  # most bytes of a window before its anchor
@@ -481,9 +481,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     left = remove_repeats(docs, with_text=True).where("doc_id is not null and not again").where(F.length(F.trim("kept")) > 0)
     left = left.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept"))
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows = boxed(docs)
-    out = rows.where("row.doc_id is not null").join(left, (F.col("row.doc_id").cast("long") == F.col("_id")) & (F.unhex(F.md5(text.cast("binary"))) == F.col("_digest"))).select("row", "_kept")
-    out = out.union(rows.where("row.doc_id is null").select("row", text)).where(F.length(F.trim("_kept")) > 0)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]).alias("row")  # the old text stays behind
+    rows = docs.where("doc_id is not null").select(rest, F.col("doc_id").cast("long").alias("_own"), F.unhex(F.md5(text.cast("binary"))).alias("_text"))
+    out = rows.join(left, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_digest"))).select("row", "_kept")
+    out = out.union(docs.where("doc_id is null").select(rest, text)).where(F.length(F.trim("_kept")) > 0)
     new = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}
-    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
