@@ -632,6 +632,22 @@ def test_winnowing_short_and_blank_free(spark):
         assert {(v >> POSITION_BITS, (v & ((1 << POSITION_BITS) - 1)) - ((1 << POSITION_BITS) - 1)) for v in m} == want and len(m) == len(want)
 
 
+def test_winnowing_compiled_and_shared(spark):
+    """No code point goes through an interpreted lambda; marks of edited texts, mostly taken over, are those of the texts."""
+    from keyframe.llm.op9_winnowing import BLOCK, as_text, fingerprints, with_char_marks
+
+    r = random.Random(23)
+    lengths = [134, 135, 136, 268, 269, BLOCK + 6, BLOCK + 7, BLOCK + 8, 2 * BLOCK + 22, 2 * BLOCK + 23, 3 * BLOCK + 7, 5000, 20, 5000, 135, 700, 0, 900, 140, 140]
+    texts = ["".join(r.choices("abcdefg é😀", k=n)) for n in lengths] + ["a" * 1000, "a" * 400, "ab" * 300, words(r, 300)]
+    following = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following, strict=True)]
+    plain = with_char_marks(spark.createDataFrame([(i, t) for i, t in enumerate(texts + edited)], "i long, text string"), "text", "m")
+    assert "lambda" not in plain._jdf.queryExecution().executedPlan().toString()
+    found = [x.f for x in plain.select("i", as_text("m").alias("f")).orderBy("i").collect()]
+    for x in fingerprints(frame(spark, texts)).collect():
+        assert x.fingerprint == found[x.doc_id] and x.edited_fingerprint == found[len(texts) + x.doc_id]
+
+
 # ---------------------------------------------------------------- 10
 
 
